@@ -27,7 +27,7 @@ from .cells import Forest, deal, pairs, run_blocks, sorted_blocks
 from .common import cut, map_rows, whole_text
 from .components import components
 
-DISTANCE, BLOCKS, SHINGLE, SEED = 4, 7, 4, 42
+DISTANCE, BLOCKS, SHINGLE, SEED = 4, 8, 4, 42
 EVEN = np.uint64(0x5555555555555555)
 
 
