@@ -30,7 +30,7 @@ from ..shipping import ship
 from .common import cut, map_rows, whole_text
 
 WINDOW, MER = 13, 3
-CHUNK, PIECE, LONGEST = 16 << 20, 4 << 20, 256  # bytes of a chunk, bytes hashed at a time, windows of a string
+CHUNK, PIECE, LONGEST = 8 << 20, 1 << 20, 256  # bytes of a chunk, bytes hashed at a time, windows of a string
 BASE = 0x9E3779B97F4A7C15 | 1
 U = np.uint64
 
@@ -276,7 +276,7 @@ def covers(docs: DataFrame, window: int = WINDOW, mer: int = MER) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()), pa.array([x for _, x in got], pa.binary())], names=["doc_id", "data"])
 
     packed = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", whole_text().alias("text")).mapInArrow(gather, "part int, kind int, doc_id long, data binary")
-    return packed.repartition(parts, "part").mapInArrow(count, "doc_id long, data binary")
+    return packed.repartitionById(parts, F.col("part")).mapInArrow(count, "doc_id long, data binary")
 
 
 def remove(docs: DataFrame, window: int = WINDOW, mer: int = MER) -> DataFrame:
