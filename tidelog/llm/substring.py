@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,8 @@ from ..shipping import ship
 from .common import cut, map_rows, whole_text
 
 WINDOW, MER = 13, 3
-CHUNK, PIECE, LONGEST = 8 << 20, 1 << 20, 256  # bytes of a chunk, bytes hashed at a time, windows of a string
+CHUNK, PIECE, LONGEST = 6 << 20, 1 << 20, 256  # bytes of a chunk, bytes hashed at a time, windows of a string
+PARTS = 2  # parts of the buckets for each shuffle partition
 BASE = 0x9E3779B97F4A7C15 | 1
 U = np.uint64
 
@@ -115,6 +117,35 @@ def _intervals(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tupl
     return out
 
 
+def _target(doc: int, parts: int) -> int:
+    """The part that a document's covers and text meet in; ``_apply`` has the same in SQL."""
+    return crc32(str(doc).encode()) % parts
+
+
+def _blocks(found: list[tuple[int, bytes]], parts: int):
+    """(target, block) of covered intervals: documents of one target share a compressed block."""
+    import zstandard
+
+    by: dict[int, list[tuple[int, bytes]]] = {}
+    for doc, data in found:
+        by.setdefault(_target(doc, parts), []).append((doc, data))
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for target, rows in by.items():
+        sizes = np.array([len(x) for _, x in rows], "<i4")
+        yield target, pack(struct.pack("<I", len(rows)) + np.array([d for d, _ in rows], "<i8").tobytes() + sizes.tobytes() + b"".join(x for _, x in rows))
+
+
+def _read_block(block: bytes, into: dict[int, list[bytes]]) -> None:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(block)
+    (n,) = struct.unpack_from("<I", raw)
+    at = 4 + 12 * n
+    for doc, size in zip(np.frombuffer(raw, "<i8", n, 4).tolist(), np.frombuffer(raw, "<i4", n, 4 + 8 * n).tolist()):
+        into.setdefault(doc, []).append(raw[at : at + size])
+        at += size
+
+
 class _Chunk:
     """Equal strings of a chunk combined."""
 
@@ -124,7 +155,7 @@ class _Chunk:
         self.size = 0
 
     def flush(self):
-        """Rows (part, kind, doc_id, data): kind 0 a block of strings for a bucket, kind 1 covered intervals."""
+        """Rows (part, kind, data): kind 0 a block of strings for a part of the buckets, kind 1 a block of covers."""
         import zstandard
 
         self.docs.sort()
@@ -171,9 +202,9 @@ class _Chunk:
             for b, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 ix = order[b:e]
                 text = b"\n".join([keep_text[i] for i in ix.tolist()]) + b"\n"
-                yield int(part[ix[0]]), 0, None, pack(struct.pack("<I", e - b) + doc[ix].tobytes() + start[ix].tobytes() + text)
-        for d, packed in _intervals(*(np.array(x, np.int64) for x in cover)):
-            yield d % self.parts, 1, d, packed
+                yield int(part[ix[0]]), 0, pack(struct.pack("<I", e - b) + doc[ix].tobytes() + start[ix].tobytes() + text)
+        for target, block in _blocks(_intervals(*(np.array(x, np.int64) for x in cover)), self.parts):
+            yield target, 1, block
 
 
 def _count(blobs: list[bytes], window: int):
@@ -182,14 +213,17 @@ def _count(blobs: list[bytes], window: int):
 
     unpack = zstandard.ZstdDecompressor().decompress
     docs, starts, texts = [], [], []
-    hashes, owner, offset, begin, end = [], [], [], [], []
-    base, strings = 0, 0
     for blob in blobs:
         raw = unpack(blob)
         (n,) = struct.unpack_from("<I", raw)
-        docs.append(np.frombuffer(raw, "<i8", n, 4))
-        starts.append(np.frombuffer(raw, "<i4", n, 4 + 8 * n))
-        text = raw[4 + 12 * n :]
+        docs.append(np.frombuffer(raw, "<i8", n, 4).copy())
+        starts.append(np.frombuffer(raw, "<i4", n, 4 + 8 * n).copy())
+        texts.append(raw[4 + 12 * n :])
+    blobs.clear()
+    place = np.uint32 if sum(map(len, texts)) < 1 << 32 else np.int64
+    hashes, owner, offset, begin, end = [], [], [], [], []
+    base, strings = 0, 0
+    for text in texts:
         at = 0
         while at < len(text):  # hash a piece of whole strings at a time
             to = len(text) if at + PIECE >= len(text) else text.index(b"\n", at + PIECE) + 1
@@ -199,19 +233,20 @@ def _count(blobs: list[bytes], window: int):
             hashes.append(w.runs(window)[first])
             owner.append((w.line[first] + strings).astype(np.int32))
             offset.append((first - line_start[w.line[first]]).astype(np.int32))
-            begin.append(w.starts[first] + base + at)
-            end.append(w.ends[first + window - 1] + base + at)
+            begin.append((w.starts[first] + base + at).astype(place))
+            end.append((w.ends[first + window - 1] + base + at).astype(place))
             strings += int(w.line[-1]) + 1
             at = to
-        texts.append(text)
         base += len(text)
     if not hashes:
         return []
     doc, start = np.concatenate(docs), np.concatenate(starts)
     h = np.concatenate(hashes)
+    hashes.clear()
     order = np.argsort(h, kind="stable")
-    same = np.r_[False, h[order[1:]] == h[order[:-1]]]
-    del h, hashes
+    h = h[order]
+    same = np.r_[False, h[1:] == h[:-1]]
+    del h
     if not same.any():
         return []
     twice = order[same | np.r_[same[1:], False]]
@@ -240,18 +275,24 @@ def _count(blobs: list[bytes], window: int):
     return _intervals(doc[owner[hit]], at, at + window)
 
 
-def covers(docs: DataFrame, window: int = WINDOW, mer: int = MER) -> DataFrame:
-    """(doc_id, data): intervals of words, packed as pairs of 32-bit integers; several rows a document."""
-    spark = ship(docs.sparkSession)
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    schema = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("data", pa.binary())])
+def _parts(docs: DataFrame) -> int:
+    return PARTS * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
 
-    def rows(found):
-        found = list(found)
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t.type) for k, t in enumerate(schema)], schema=schema)
+def covers(docs: DataFrame, window: int = WINDOW, mer: int = MER) -> DataFrame:
+    """(target, data): blocks of covered word intervals of the documents of a target."""
+    ship(docs.sparkSession)
+    parts = _parts(docs)
+    schema = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
+    out = pa.schema([("target", pa.int32()), ("data", pa.binary())])
 
     def gather(batches):
         chunk = _Chunk(parts, window, mer)
+
+        def rows():
+            for row in chunk.flush():
+                yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(row, schema)], schema=schema)
+
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 words = text.as_py().encode().split()
@@ -259,58 +300,68 @@ def covers(docs: DataFrame, window: int = WINDOW, mer: int = MER) -> DataFrame:
                     chunk.docs.append((doc, b" ".join(words)))
                     chunk.size += len(chunk.docs[-1][1])
                     if chunk.size >= CHUNK:
-                        yield rows(chunk.flush())
-        yield rows(chunk.flush())
+                        yield from rows()
+        yield from rows()
 
     def count(batches):
         blobs: dict[int, list[bytes]] = {}
         for batch in batches:
-            part, kind = batch.column("part").to_pylist(), batch.column("kind").to_pylist()
-            for i, k in enumerate(kind):
-                if not k:
-                    blobs.setdefault(part[i], []).append(batch.column("data")[i].as_py())
-            if any(kind):
-                yield batch.filter(pa.array([bool(k) for k in kind])).select(["doc_id", "data"])
+            for part, kind, data in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "data"))):
+                if kind:
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([data], pa.binary())], schema=out)
+                else:
+                    blobs.setdefault(part, []).append(data)
         for part in sorted(blobs):
-            got = _count(blobs.pop(part), window)
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()), pa.array([x for _, x in got], pa.binary())], names=["doc_id", "data"])
+            for target, block in _blocks(_count(blobs.pop(part), window), parts):
+                yield pa.RecordBatch.from_arrays([pa.array([target], pa.int32()), pa.array([block], pa.binary())], schema=out)
 
-    packed = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", whole_text().alias("text")).mapInArrow(gather, "part int, kind int, doc_id long, data binary")
-    return packed.repartitionById(parts, F.col("part")).mapInArrow(count, "doc_id long, data binary")
+    packed = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", whole_text().alias("text")).mapInArrow(gather, "part int, kind int, data binary")
+    return packed.repartitionById(parts, F.col("part")).mapInArrow(count, "target int, data binary")
 
 
 def remove(docs: DataFrame, window: int = WINDOW, mer: int = MER) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept (the words kept, joined by spaces)."""
-    return _apply(docs, window, mer, "kept string", lambda kept: {"kept": kept.decode("utf-8", "surrogatepass")})
+    return _apply(docs, window, mer, "kept string", lambda kept: kept.decode())
 
 
 def digests(docs: DataFrame, window: int = WINDOW, mer: int = MER) -> DataFrame:
     """As ``remove``, with the digest of the words kept instead of them."""
-    return _apply(docs, window, mer, "kept_sha256 string", lambda kept: {"kept_sha256": hashlib.sha256(kept).hexdigest()})
+    return _apply(docs, window, mer, "kept_sha256 string", lambda kept: hashlib.sha256(kept).hexdigest())
 
 
 def _apply(docs: DataFrame, window: int, mer: int, column: str, of) -> DataFrame:
-    found = cut(covers(docs, window, mer), "covers").groupBy("doc_id").agg(F.collect_list("data").alias("covers"))
-    joined = docs.select("doc_id", whole_text().alias("text")).join(found, "doc_id", "left")
+    """Covers and texts meet in the part of the document's target, covers first."""
+    parts = _parts(docs)
+    found = cut(covers(docs, window, mer), "covers")
+    text = whole_text()
+    # _target in SQL; rows without id go anywhere, by their text
+    target = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), text).cast("binary")), F.lit(parts)).cast("int")
+    both = docs.select(target.alias("target"), F.lit(1).alias("kind"), "doc_id", text.alias("text"), F.lit(None).cast("binary").alias("data")).unionByName(
+        found.select("target", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "data")
+    )
+    met = both.repartitionById(parts, F.col("target")).sortWithinPartitions("kind")
 
     def make():
+        known: dict[int, list[bytes]] = {}
+
         def step(b):
-            out: dict[str, list] = {"doc_id": b["doc_id"], "n_words": [], "n_removed": [], column.split()[0]: []}
-            for text, packed in zip(b["text"], b["covers"]):
+            out: dict[str, list] = {"doc_id": [], "n_words": [], "n_removed": [], column.split()[0]: []}
+            for kind, doc, text, data in zip(b["kind"], b["doc_id"], b["text"], b["data"]):
+                if not kind:
+                    _read_block(data, known)
+                    continue
                 words = text.encode().split()
-                drop = np.zeros(len(words) + 1, np.int64)
-                for x in packed or ():
-                    pair = np.frombuffer(x, "<i4").reshape(-1, 2)
-                    np.add.at(drop, np.minimum(pair[:, 0], len(words)), 1)
-                    np.add.at(drop, np.minimum(pair[:, 1], len(words)), -1)
-                gone = np.cumsum(drop[:-1]) > 0
-                kept = [w for w, g in zip(words, gone.tolist()) if not g] if packed else words
-                out["n_words"].append(len(words))
-                out["n_removed"].append(len(words) - len(kept))
-                for k, v in of(b" ".join(kept)).items():
-                    out[k].append(v)
+                kept = words
+                if doc is not None and doc in known:
+                    drop = np.zeros(len(words) + 1, np.int64)
+                    pair = np.minimum(np.frombuffer(b"".join(known[doc]), "<i4").reshape(-1, 2), len(words))
+                    np.add.at(drop, pair[:, 0], 1)
+                    np.add.at(drop, pair[:, 1], -1)
+                    kept = [w for w, g in zip(words, (np.cumsum(drop[:-1]) > 0).tolist()) if not g]
+                for name, v in zip(out, (doc, len(words), len(words) - len(kept), of(b" ".join(kept)))):
+                    out[name].append(v)
             return out
 
         return step
 
-    return map_rows(joined, ["doc_id", "text", "covers"], f"doc_id long, n_words long, n_removed long, {column}", make)
+    return map_rows(met, ["kind", "doc_id", "text", "data"], f"doc_id long, n_words long, n_removed long, {column}", make)
