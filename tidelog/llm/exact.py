@@ -31,7 +31,9 @@ def groups(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     by_text = docs.select("doc_id", text.alias("t"), *_digests(text)).groupBy("h", "s", "t").agg(pick("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     by_digest = by_text.groupBy("h", "s").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.count("*").alias("texts"))
     checked = by_digest.withColumn("group_size", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts share both digests")).cast("long")))
-    return rows.join(checked, ["h", "s"], "left").select(
+    # one joined key: both sides are dealt anew for the join alone, so that Spark may split a large group of copies
+    key = F.concat("h", "s").alias("k")
+    return rows.select("doc_id", "s", key).join(checked.select(key, "keep_id", "group_size"), "k", "left").select(
         "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.lower(F.hex("s")).alias("text_sha256")
     )
 
