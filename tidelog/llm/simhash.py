@@ -90,7 +90,7 @@ def links(points: DataFrame, distance: int = DISTANCE) -> DataFrame:
     signed = [m - (1 << 64) if m >> 63 else m for m in chosen]
     cells = F.array(*[F.xxhash64(F.lit(k), F.col("counts").bitwiseAND(F.lit(m))) for k, m in enumerate(signed)])
     parts = max(1, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = points.select(fp.alias("uid"), counts.alias("counts")).repartition(parts, "uid")  # few bytes, many rows to come
+    dealt = points.select(fp.alias("uid"), counts.alias("counts")).repartition(parts, F.xxhash64("uid"))  # few bytes, many rows to come
     spread = dealt.select("uid", F.explode(cells).alias("cell"))
     blocks = sorted_blocks(deal(spread))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
