@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import cut, map_rows, whole_text
+from .common import map_rows, whole_text
 
 WINDOW, MER = 13, 3
 CHUNK, PIECE, LONGEST = 6 << 20, 1 << 20, 256  # bytes of a chunk, bytes hashed at a time, windows of a string
-PARTS = 2  # parts of the buckets for each shuffle partition
+PARTS = 2  # parts of the buckets for each shuffle partition; targets are as many as shuffle partitions
 BASE = 0x9E3779B97F4A7C15 | 1
 U = np.uint64
 
@@ -149,8 +149,8 @@ def _read_block(block: bytes, into: dict[int, list[bytes]]) -> None:
 class _Chunk:
     """Equal strings of a chunk combined."""
 
-    def __init__(self, parts: int, window: int, mer: int):
-        self.parts, self.window, self.mer = parts, window, mer
+    def __init__(self, parts: int, targets: int, window: int, mer: int):
+        self.parts, self.targets, self.window, self.mer = parts, targets, window, mer
         self.docs: list[tuple[int, bytes]] = []
         self.size = 0
 
@@ -203,7 +203,7 @@ class _Chunk:
                 ix = order[b:e]
                 text = b"\n".join([keep_text[i] for i in ix.tolist()]) + b"\n"
                 yield int(part[ix[0]]), 0, pack(struct.pack("<I", e - b) + doc[ix].tobytes() + start[ix].tobytes() + text)
-        for target, block in _blocks(_intervals(*(np.array(x, np.int64) for x in cover)), self.parts):
+        for target, block in _blocks(_intervals(*(np.array(x, np.int64) for x in cover)), self.targets):
             yield target, 1, block
 
 
@@ -275,19 +275,20 @@ def _count(blobs: list[bytes], window: int):
     return _intervals(doc[owner[hit]], at, at + window)
 
 
-def _parts(docs: DataFrame) -> int:
-    return PARTS * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def _targets(docs: DataFrame) -> int:
+    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def covers(docs: DataFrame, window: int = WINDOW, mer: int = MER) -> DataFrame:
     """(target, data): blocks of covered word intervals of the documents of a target."""
     ship(docs.sparkSession)
-    parts = _parts(docs)
+    targets = _targets(docs)
+    parts = PARTS * targets
     schema = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
     out = pa.schema([("target", pa.int32()), ("data", pa.binary())])
 
     def gather(batches):
-        chunk = _Chunk(parts, window, mer)
+        chunk = _Chunk(parts, targets, window, mer)
 
         def rows():
             for row in chunk.flush():
@@ -312,7 +313,7 @@ def covers(docs: DataFrame, window: int = WINDOW, mer: int = MER) -> DataFrame:
                 else:
                     blobs.setdefault(part, []).append(data)
         for part in sorted(blobs):
-            for target, block in _blocks(_count(blobs.pop(part), window), parts):
+            for target, block in _blocks(_count(blobs.pop(part), window), targets):
                 yield pa.RecordBatch.from_arrays([pa.array([target], pa.int32()), pa.array([block], pa.binary())], schema=out)
 
     packed = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", whole_text().alias("text")).mapInArrow(gather, "part int, kind int, data binary")
@@ -331,8 +332,8 @@ def digests(docs: DataFrame, window: int = WINDOW, mer: int = MER) -> DataFrame:
 
 def _apply(docs: DataFrame, window: int, mer: int, column: str, of) -> DataFrame:
     """Covers and texts meet in the part of the document's target, covers first."""
-    parts = _parts(docs)
-    found = cut(covers(docs, window, mer), "covers")
+    parts = _targets(docs)
+    found = covers(docs, window, mer)
     text = whole_text()
     # _target in SQL; rows without id go anywhere, by their text
     target = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), text).cast("binary")), F.lit(parts)).cast("int")
