@@ -26,7 +26,7 @@ OPERATORS = {
     "exact": exact.groups,
     "quality": lambda d: quality.score(d, quality.train([])),
     "toxicity": lambda d: toxicity.score(d, toxicity.Model(toxicity.LEXICON, np.zeros(len(toxicity.LEXICON) + 8), 0.0)),
-    "packing": lambda d: packing.pack(d, P.path("byte_bpe_50k.json"), P.PATTERN),
+    "packing": lambda d: packing.pack(d, P.path("byte_bpe_50k.json")),
 }
 
 
@@ -162,7 +162,7 @@ def test_packing_is_whole_and_tight(spark, sf_dir):
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     tok.encode_special_tokens = True
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    got = rows(packing.pack(docs, P.path("byte_bpe_50k.json"), P.PATTERN))
+    got = rows(packing.pack(docs, P.path("byte_bpe_50k.json")))
     of: dict = {}
     for x in got:
         of.setdefault(x["doc_id"], []).append(x)

@@ -22,57 +22,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Memo, cut, map_rows, whole_text
+from .common import Chunks, cut, map_rows, whole_text
 
 CAPACITY, END = 1024, 2
 
-_tokenizers: dict[tuple[str, str], tuple] = {}
+_tokenizers: dict[str, "Tokens"] = {}
 
 
 class Tokens:
-    """Ids of the ``tokenizers`` library; each distinct piece of the pattern is encoded once, in batches."""
+    """Ids of the ``tokenizers`` library; common words are encoded once."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
-        self.find = regex.compile(pattern).findall
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known = Memo(lambda piece: self._pack(self.tok.encode(piece, add_special_tokens=False).ids))
+        self.packed = Chunks(self._encode)
 
-    @staticmethod
-    def _pack(ids: list[int]) -> bytes:
+    def _encode(self, text: str) -> bytes:
+        ids = self.tok.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def packed(self, text: str) -> bytes:
-        pieces = self.find(text)
-        known = self.known
-        new = list({p for p in pieces if p not in known})
-        if len(new) > 8:
-            if len(known) + len(new) > known.most:
-                known.clear()
-            for at in range(0, len(new), 10_000):
-                part = new[at : at + 10_000]
-                known.update(zip(part, (self._pack(e.ids) for e in self.tok.encode_batch_fast(part, add_special_tokens=False))))
-        return b"".join(map(known.__getitem__, pieces))
 
-
-def tokens(path: str, pattern: str) -> Tokens:
+def tokens(path: str) -> Tokens:
     """One for a worker process, shared by its tasks."""
-    if (path, pattern) not in _tokenizers:
-        _tokenizers[path, pattern] = Tokens(path, pattern)
-    return _tokenizers[path, pattern]
+    if path not in _tokenizers:
+        _tokenizers[path] = Tokens(path)
+    return _tokenizers[path]
 
 
-def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32)."""
 
     def make():
-        tok = tokens(path, pattern)
+        tok = tokens(path)
         mark = struct.pack("<I", end)
 
         def step(b):
@@ -186,10 +172,10 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
     return {x: np.array(rows, np.int64) for x, rows in found.items()}
 
 
-def pack(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    cutted = cut(pieces(docs, path, pattern, capacity, end), "pieces")
+    cutted = cut(pieces(docs, path, capacity, end), "pieces")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     placed = cutted.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(parts)).cast("int"))
     counts = placed.groupBy("bucket", "length").agg(F.count("*").alias("n"))
