@@ -126,10 +126,11 @@ class Encoder:
         import regex
 
         self.v, self.find = vocabulary(path), regex.compile(pattern).findall
+        self.pieces = Memo(lambda piece: encode_piece(self.v, piece.encode()), 200_000)
         self.packed = Chunks(self._matches)  # ids of a text as little-endian unsigned 32-bit integers
 
     def _matches(self, text: str) -> bytes:
-        ids = [i for piece in self.find(text) for i in encode_piece(self.v, piece.encode())]
+        ids = [i for piece in self.find(text) for i in self.pieces[piece]]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> list[int]:
