@@ -16,7 +16,7 @@ import struct
 
 from pyspark.sql import DataFrame
 
-from .common import Chunks, Memo, map_rows, whole_text
+from .common import Memo, map_rows, whole_text
 
 NONE = 1 << 30
 
@@ -120,19 +120,22 @@ def encode_piece(v: Vocabulary, piece: bytes) -> list[int]:
 
 
 class Encoder:
-    """Splits texts by a pattern and encodes each match; common words are encoded once."""
+    """Splits texts by a pattern and encodes each match; common ones are encoded once."""
 
     def __init__(self, path: str, pattern: str):
         import regex
 
         self.v, self.find = vocabulary(path), regex.compile(pattern).findall
-        self.pieces = Memo(lambda piece: encode_piece(self.v, piece.encode()), 200_000)
-        self.packed = Chunks(self._matches)  # ids of a text as little-endian unsigned 32-bit integers
+        self.pieces = Memo(self._piece, 600_000)
 
-    def _matches(self, text: str) -> bytes:
-        ids = [i for piece in self.find(text) for i in self.pieces[piece]]
+    def _piece(self, piece: str) -> bytes:
+        ids = encode_piece(self.v, piece.encode())
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def packed(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+
     def encode(self, text: str) -> list[int]:
         packed = self.packed(text)
         return list(struct.unpack(f"<{len(packed) // 4}I", packed))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import os
-import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -95,26 +94,3 @@ class Memo(dict):
             self.clear()
         self[key] = value
         return value
-
-
-class Chunks:
-    """Encodes a text by parts that a byte-level pattern never joins: a space or line break between two
-    characters that are no white space always begins a new match. Texts with other white space go whole."""
-
-    ODD = re.compile(r"[ \n](?:\s|\Z)|\A\s|[^\S ]\n|[^\S\n] ")
-
-    def __init__(self, encode: Callable[[str], bytes], most: int = 400_000):
-        """encode: of a text that is a run of whole matches, the packed ids."""
-        self.encode = encode
-        self.heads = Memo(encode, most // 4)  # first words of lines
-        self.words = Memo(lambda word: encode(" " + word), most)  # other words, with the space before them
-        self.line_break = encode("\n")
-
-    def __call__(self, text: str) -> bytes:
-        if self.ODD.search(text):
-            return self.encode(text)
-        get, lines = self.words.__getitem__, []
-        for line in text.split("\n"):
-            words = line.split(" ")
-            lines.append(self.heads[words[0]] + b"".join(map(get, words[1:])) if words[0] else b"")
-        return self.line_break.join(lines)
