@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 
-LIMIT = 2048
+LIMIT = 1024
 
 
 def deal(points: DataFrame, limit: int = LIMIT) -> DataFrame:

@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+def splittable(rows: DataFrame, totals: DataFrame, key: str) -> DataFrame:
+    """Joins rows with one row a key, by the complement of a long key: neither side is dealt by it already, so both
+    are dealt for this join alone and Spark may split the partition of a hot key."""
+    once = totals.select(F.bitwise_not(key).alias("_key"), *[c for c in totals.columns if c != key])
+    return rows.withColumn("_key", F.bitwise_not(key)).join(once, "_key").drop("_key")
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges: (a long, b long). Returns (v, root): each vertex that is not the least of its component, with the
     least. Every round is two joins on vertices whose hot side Spark may split, and is written to the shared
@@ -18,10 +25,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # large star: every neighbour above a vertex is tied to the least of its neighbourhood
         both = now.select(F.col("v").alias("u"), F.col("root").alias("w")).unionAll(now.select(F.col("root").alias("u"), F.col("v").alias("w")))
         least = both.groupBy("u").agg(F.min("w").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("w > u").select(F.col("w").alias("v"), F.col("m").alias("root")).distinct()
+        large = splittable(both, least, "u").filter("w > u").select(F.col("w").alias("v"), F.col("m").alias("root")).distinct()
         # small star: a vertex and those below it are tied to the least below it
         least = large.groupBy("v").agg(F.min("root").alias("m"))
-        small = large.join(least, "v").filter("root <> m").select(F.col("root").alias("v"), F.col("m").alias("root"))
+        small = splittable(large, least, "v").filter("root <> m").select(F.col("root").alias("v"), F.col("m").alias("root"))
         now = cut(small.unionAll(least.select("v", F.col("m").alias("root"))).distinct(), "edges")
         after = now.agg(F.count("*"), F.sum(F.xxhash64("v", "root").cast("decimal(38,0)"))).first()
         if after == before:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .cells import Forest, deal, pairs, run_blocks, sorted_blocks
 from .common import cut, map_rows, whole_text
-from .components import components
+from .components import components, splittable
 
 DISTANCE, BLOCKS, SHINGLE, SEED = 4, 8, 4, 42
 EVEN = np.uint64(0x5555555555555555)
@@ -119,7 +119,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, size: int = SHING
     found = components(links(points.select("fp"), distance)).select(F.col("v").alias("fp"), "root")
     rooted = points.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
+    classes = splittable(rooted, least, "root").select("fp", "component_id")
     return prints.join(classes, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
