@@ -97,21 +97,59 @@ def test_estimates_are_unbiased_and_bounded():
     assert vectors.recall() > 0.9999
 
 
-def test_pipeline(spark, sf_dir):
+def test_pipeline_against_brute_force(spark, sf_dir):
+    from zlib import crc32
+
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from tidelog.llm import quality, secret_scan, simhash
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    of = quality.scorer(quality.fit(spark, docs, sf_dir))
+    kept = {i: t for i, t in kept.items() if of(t) >= 0.3}
+    kept = {i: t for i, t in kept.items() if i == max(j for j, u in kept.items() if u == t)}
+    prints = {i: simhash.fingerprint(t) for i, t in kept.items()}
+    root = {i: i for i in kept}
+    changed = True
+    while changed:
+        changed = False
+        for i in kept:
+            least = min(root[j] for j in kept if (prints[i] ^ prints[j]).bit_count() <= 4)
+            if least < root[i]:
+                root[i], changed = least, True
+    kept = {i: secret_scan.redact_text(t) for i, t in kept.items() if root[i] == i}
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    want = set()
+    for i, t in kept.items():
+        ids = np.array(tok.encode(t, add_special_tokens=False).ids + [2], "<u4")
+        cuts = [0, *range(len(ids) % 1024 or 1024, len(ids), 1024), len(ids)]
+        want |= {(i, k, a, b - a, crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))}
+    got = corpus_pipeline.run(spark, sf_dir).collect()
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got} == want and len(got) == len(want)
+    fill: dict = {}
+    for r in sorted(got, key=lambda r: r.offset):
+        assert fill.get(r.sequence_id, 0) == r.offset
+        fill[r.sequence_id] = r.offset + r.length
+    assert max(fill.values()) <= 1024
+
+
+def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, before, sf_dir)
+        after = corpus_pipeline.cut(stage(spark, before, sf_dir), "stage")
         assert after.dtypes == docs.dtypes, name
         ids = {r.doc_id for r in after.select("doc_id").collect()}
         assert ids <= {r.doc_id for r in before.select("doc_id").collect()}
-        before = corpus_pipeline.cut(after, "stage")
+        before = after
     texts = [r.text for r in before.collect()]
-    assert len(texts) == len(set(texts)) and not any("token = \"" in t for t in texts)
-    packed = corpus_pipeline.run(spark, sf_dir).collect()
-    assert {r.doc_id for r in packed} == ids
+    assert len(texts) == len(set(texts)) and not any('token = "' in t for t in texts)
 
 
 def test_queries_run_on_the_smallest_tables(spark, sf_dir):
