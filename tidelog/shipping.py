@@ -10,10 +10,14 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "500"
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Add the package to the session's Python files, once for each Spark application."""
+    """Add the package to the session's Python files, once for each Spark application. Unless the user chose another,
+    Arrow batches get ``BATCH_ROWS`` rows: with Spark's 10,000, a batch of long texts takes gigabytes on both sides."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, BATCH_ROWS)
     sc = spark.sparkContext
     if sc.applicationId not in _shipped:
         top = Path(__file__).resolve().parent
