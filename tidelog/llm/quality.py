@@ -19,12 +19,15 @@ import math
 from collections import Counter
 from itertools import islice
 from operator import eq
+from typing import Iterator
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import Memo, held_out, labelled_sample, map_rows, whole_text
 
 BUCKETS, DIM, GRAMS = 1 << 17, 8, (3, 4)
@@ -136,15 +139,13 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3) -> DataF
 
 
 def keep(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3) -> DataFrame:
-    """The rows whose score reaches ``threshold``, with all columns."""
-    names = docs.columns
-    flagged = "passes"
-    while flagged in {n.lower() for n in names}:
-        flagged += "_"
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in docs.dtypes), f"{flagged} boolean"])
+    """The rows whose score reaches ``threshold``, with all columns; only texts travel to Python, and answers back."""
+    ship(docs.sparkSession)
 
-    def make():
+    def passes(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = scorer(weights)
-        return lambda b: b | {flagged: [of(t or "") >= threshold for t in b["text"]]}
+        for part in texts:
+            yield pa.array([of(t) >= threshold for t in part.to_pylist()], pa.bool_())
 
-    return map_rows(docs, [F.col(f"`{n}`") for n in names], schema, make).filter(flagged).drop(flagged)
+    passes.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return docs.filter(F.arrow_udf(passes, "boolean")(whole_text()))
