@@ -229,3 +229,23 @@ def test_config():
     for bad in ("this is not valid json", "{}", '{"lsm_storage_config": 3}'):
         with pytest.raises(ConfigInvalid):
             Config.from_json(bad)
+
+
+def test_a_hot_key_of_a_batch_is_written_by_many_tasks(spark, tmp_path):
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        store = Store(spark, str(tmp_path / "h"), SMALL)
+        pairs = [("hot" if i % 3 else f"k{i:03d}", None if i == 1 else str(i)) for i in range(300)]
+        assert store.write_batch(batch(spark, pairs), ["n"]) == 299
+    finally:
+        spark.conf.unset(coalesce)
+    hot = b"hot".hex().upper()
+    holding = [f for f in store.state().levels[0] if f.meets(hot, hot)]
+    assert len(holding) > 1
+    want = {"hot": "299", **{f"k{i:03d}": str(i) for i in range(0, 300, 3)}}
+    assert found(store.reader().snapshot()) == want and found(store.reader(200).snapshot())["hot"] == "200"
+    store.write_batch(batch(spark, [("hot", None)]), ["n"])
+    store.compact(collapse=True)
+    del want["hot"]
+    assert found(store.reader().snapshot()) == want and not store.state().levels[0]

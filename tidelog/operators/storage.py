@@ -83,6 +83,18 @@ def tables_by_level(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("level").agg(F.sort_array(F.collect_list("file_id")).alias("file_ids"))
 
 
+def totals(manifest: DataFrame) -> DataFrame:
+    """One row: files, levels and rows."""
+    return manifest.agg(F.count("*").alias("n_files"), (F.max("level") + 1).alias("depth"), F.sum("rows").alias("n_rows"))
+
+
+def replay(changes: DataFrame) -> DataFrame:
+    """(file_id, level) of the live files, from changes (version, change, file_id, level) of all commits. Inside a
+    commit deletions come before additions, so that a file it moves lives on at its new level."""
+    last = changes.groupBy("file_id").agg(F.max(F.struct("version", (F.col("change") == "Add").alias("live"), "level")).alias("c"))
+    return last.filter("c.live").select("file_id", "c.level")
+
+
 def need_compact(counts: DataFrame, limit: int, ratio: int) -> DataFrame:
     """Levels over their capacity."""
     return counts.withColumn("capacity", level_capacity("level", limit, ratio)).withColumn("over", F.col("n_files") > F.col("capacity"))

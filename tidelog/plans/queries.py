@@ -81,10 +81,10 @@ query("point_get_as_of", _latest("key = '000001' AND op_id <= 700", keep=LIVE, c
 
 
 def _probe_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey % 7 = 0").select(X.padded("c_custkey").alias("key"))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(X.padded("c_custkey").alias("key"))
 
 
-query("multi_get", _latest("key IN (SELECT lpad(CAST(c_custkey AS VARCHAR), 6, '0') FROM customer WHERE c_custkey % 7 = 0)", keep=LIVE, columns=KV), lambda s, d: versions.multi_get(log_of(s, d), _probe_keys(s, d)))
+query("multi_get", _latest("key IN (SELECT lpad(CAST(c_custkey AS VARCHAR), 6, '0') FROM customer)", keep=LIVE, columns=KV), lambda s, d: versions.multi_get(log_of(s, d), _probe_keys(s, d)))
 
 
 def _as_of_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,17 +123,30 @@ query("key_range", f"WITH {_MANIFEST} SELECT min(first_key) AS first_key, max(la
 query("run_overlap_pairs", f"WITH {_MANIFEST} SELECT a.file_id AS left_id, b.file_id AS right_id FROM manifest a JOIN manifest b ON a.level = 0 AND b.level = 1 AND a.first_key <= b.last_key AND a.last_key >= b.first_key", lambda s, d: storage.overlap_pairs(_level(s, d, 0), _level(s, d, 1)))
 
 
+SHIFT = 60  # targets' keys lie so much higher, so that some files of either side meet none of the other
+
+
 def _split(k: int):
-    """Inputs: the key-cut files with an even number, and one id-cut file; targets: the other key-cut files."""
+    """Inputs: the orders log in runs of 20 keys. Targets: the same with shifted keys, in runs of 30."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        m = manifest_of(spark, sf_dir).filter("level = 1")
-        return storage.split_inputs(m.filter("file_id % 2 = 0"), m.filter("file_id % 4 = 1").withColumn("last_key", F.concat("last_key", F.lit("~"))).withColumn("first_key", F.substring("first_key", 1, 5)))[k]
+        log = _texts(log_of(spark, sf_dir, "orders"))
+        number = F.col("key").cast("long")
+        shifted = log.withColumn("key", X.padded(number + SHIFT))
+
+        def files(rows: DataFrame, run_id, level: int) -> DataFrame:
+            stats = storage.run_stats(storage.flush_runs(rows, run_id))
+            return stats.select(F.col("run_id").alias("file_id"), F.lit(level).alias("level"), "first_key", "last_key", "rows", "min_op_id", "max_op_id")
+
+        return storage.split_inputs(files(log, F.floor(number / 20), 0), files(shifted, F.lit(1_000_000) + F.floor(number / 30), 1))[k]
 
     return run
 
 
-_SPLIT = _MANIFEST + """, i AS (SELECT * FROM manifest WHERE level = 1 AND file_id % 2 = 0), t AS (SELECT file_id, level, substring(first_key, 1, 5) AS first_key, last_key || '~' AS last_key, rows, min_op_id, max_op_id FROM manifest WHERE level = 1 AND file_id % 4 = 1)"""
+_STATS = "min(key) AS first_key, max(key) AS last_key, count(*) AS rows, min(op_id) AS min_op_id, max(op_id) AS max_op_id"
+_SPLIT = f"""newest AS (SELECT CAST(key AS BIGINT) AS k, max(op_id) AS op_id FROM ({LOGS['orders']}) GROUP BY key),
+    i AS (SELECT file_id, 0 AS level, {_STATS} FROM (SELECT k // 20 AS file_id, lpad(CAST(k AS VARCHAR), 6, '0') AS key, op_id FROM newest) GROUP BY file_id),
+    t AS (SELECT file_id, 1 AS level, {_STATS} FROM (SELECT 1000000 + (k + {SHIFT}) // 30 AS file_id, lpad(CAST(k + {SHIFT} AS VARCHAR), 6, '0') AS key, op_id FROM newest) GROUP BY file_id)"""
 _HIT = "EXISTS (SELECT 1 FROM {0} y WHERE x.first_key <= y.last_key AND x.last_key >= y.first_key{1})"
 _MERGE = f"({_HIT.format('t', '')} OR {_HIT.format('i', ' AND x.file_id <> y.file_id')})"
 query("runs_to_compact", f"WITH {_SPLIT} SELECT {_FILE} FROM i x WHERE {_MERGE}", lambda s, d: _split(0)(s, d))
@@ -153,8 +166,12 @@ query(
     lambda s, d: storage.pick(manifest_of(s, d), LIMIT, RATIO),
 )
 query("assemble_level_index", f"WITH {_MANIFEST} SELECT {_FILE}, CAST(row_number() OVER (PARTITION BY level ORDER BY first_key, file_id) - 1 AS INTEGER) AS idx FROM manifest", lambda s, d: storage.assemble_level(_level(s, d, 0), _level(s, d, 1)))
+query("overlap_bounds", f"WITH {_MANIFEST}, x AS (SELECT *, CAST(row_number() OVER (ORDER BY first_key, file_id) - 1 AS INTEGER) AS idx FROM manifest WHERE level = 1) SELECT min(idx) AS lo, max(idx) AS hi FROM x WHERE first_key <= '000050' AND last_key >= '000030'", lambda s, d: storage.overlap_bounds("000030", "000050", storage.assemble_level(_level(s, d, 1))))
+query("compaction_preview", f"WITH {_MANIFEST} SELECT {_FILE} FROM manifest m WHERE level = 0 OR file_id = (SELECT min(file_id) FROM manifest n WHERE n.level = m.level)", lambda s, d: storage.pick_preview(manifest_of(s, d)))
+query("tables_by_level", f"WITH {_MANIFEST} SELECT level, string_agg(CAST(file_id AS VARCHAR), ',' ORDER BY file_id) AS file_ids FROM manifest GROUP BY level", lambda s, d: storage.tables_by_level(manifest_of(s, d)).select("level", F.array_join("file_ids", ",").alias("file_ids")))
+query("storage_totals", f"WITH {_MANIFEST} SELECT count(*) AS n_files, max(level) + 1 AS depth, CAST(sum(rows) AS BIGINT) AS n_rows FROM manifest", lambda s, d: storage.totals(manifest_of(s, d)))
 query("prune_files", f"WITH {_MANIFEST} SELECT {_FILE} FROM manifest WHERE first_key <= '000050' AND last_key >= '000045'", lambda s, d: storage.prune(manifest_of(s, d), "000045", "000050"))
-query("op_sequence", f"SELECT key, op_id AS old_id, row_number() OVER (ORDER BY op_id) - 1 + 500 AS op_id FROM ({LOGS['events']}) WHERE op_id % 3 = 0", lambda s, d: oplog.sequence(log_of(s, d).filter("op_id % 3 = 0").select("key", F.col("op_id").alias("old_id")), 500, ["old_id"]))
+query("op_sequence", f"SELECT key, op_id AS old_id, row_number() OVER (ORDER BY key, op_id) - 1 + 500 AS op_id FROM ({LOGS['events']})", lambda s, d: oplog.sequence(log_of(s, d).select("key", F.col("op_id").alias("old_id")), 500, ["key", "old_id"]))
 query(
     "memtable_fill",
     f"WITH log AS (SELECT op_id, 17 + strlen(key) + CASE WHEN op = 'W' THEN 8 + strlen('v' || CAST(op_id AS VARCHAR)) ELSE 0 END AS size FROM ({LOGS['events']})) SELECT op_id, CAST(sum(size) OVER (ORDER BY op_id) AS BIGINT) AS filled_bytes FROM log",
@@ -166,3 +183,23 @@ query(
     lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", X.byte_length("props").alias("n_bytes"), X.padded("event_id", 8).alias("padded")),
 )
 query("duplicate_op_ids", f"SELECT op_id, count(*) AS n FROM ({LOGS['orders']}) GROUP BY op_id HAVING count(*) > 1", lambda s, d: oplog.duplicate_ids(log_of(s, d, "orders")))
+
+
+def _manifest_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file is added at its first id; then one commit deletes what compaction picks and moves deeper files down."""
+    files = manifest_of(spark, sf_dir)
+    picked = storage.pick(files, LIMIT, RATIO)
+    added = files.select(F.col("min_op_id").alias("version"), F.lit("Add").alias("change"), "file_id", "level")
+    deleted = picked.select(F.lit(LATER).alias("version"), F.lit("Delete").alias("change"), "file_id", "level")
+    moved = picked.filter("level > 0").select(F.lit(LATER).alias("version"), F.lit("Add").alias("change"), "file_id", (F.col("level") + 1).alias("level"))
+    return added.unionByName(deleted).unionByName(moved)
+
+
+LATER = 1 << 40
+query(
+    "manifest_replay",
+    f"""WITH {_MANIFEST}, c AS (SELECT level, count(*) AS n, min(file_id) AS oldest FROM manifest GROUP BY level),
+    picked AS (SELECT m.file_id, m.level FROM manifest m JOIN c ON m.level = c.level WHERE n > 2 * pow(2, m.level) AND (m.level = 0 OR m.file_id = oldest))
+    SELECT file_id, level FROM manifest WHERE file_id NOT IN (SELECT file_id FROM picked) UNION ALL SELECT file_id, level + 1 FROM picked WHERE level > 0""",
+    lambda s, d: storage.replay(_manifest_changes(s, d)),
+)
