@@ -14,6 +14,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,11 +103,13 @@ def find_spans(text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, s
     base = base_spans(text, low)
     added, most = [], 0.0
     if any(k in low for k in ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "auth")):
+        begins, reach = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
         for m in CONTEXT.finditer(text):
             cost = guess_cost(m[1].rstrip(".!?:"))
             most = max(most, cost)
             start, end = m.start(1), m.start(1) + len(m[1].rstrip(".!?:"))
-            if cost >= MIN_COST and not any(s < end and start < e for s, _, e in base):
+            before = bisect_left(begins, end)  # base spans that begin before the value ends
+            if cost >= MIN_COST and not (before and reach[before - 1] > start):
                 added.append((start, "guess", end))
     return base, sorted(base + added, key=lambda x: (x[0], KINDS.index(x[1]))), most
 
