@@ -89,7 +89,10 @@ def test_bpe_equals_the_library_and_edits_are_exact():
         assert p.ids() == e._encode_single_piece(data[:a] + b"new" + data[b:])
 
 
-def test_substring_against_brute_force(spark):
+@pytest.mark.parametrize("hot", [False, True])
+def test_substring_against_brute_force(spark, hot, monkeypatch):
+    if hot:  # every minimiser divided by the hash of the window
+        monkeypatch.setattr(substring, "hot_slots", lambda docs, parts, window, mer: np.ones(substring.SLOTS, bool))
     r = random.Random(2)
     line = " ".join(f"c{i}" for i in range(40))
     docs = [(i, " ".join(r.choice("abcdefgh") + r.choice("xy") for _ in range(r.randint(0, 60))) + (("\n" + line) if i % 3 else "") + (" " + line if i % 7 == 0 else "")) for i in range(300)]
@@ -110,6 +113,26 @@ def test_substring_against_brute_force(spark):
         assert got[i]["kept_sha256"] == hashlib.sha256(b" ".join(kept)).hexdigest()
 
 
+def test_substring_divides_a_hot_minimiser(spark):
+    """A run of three words with the least of all hashes, in windows that differ: a third of all, yet no part is large."""
+    r = random.Random(5)
+    tries = [f"z{k} z{k} z{k}" for k in range(40_000)]
+    h = substring.Words(("\n".join(tries) + "\n").encode())
+    least = tries[int(np.argmin(h.runs(3)[::3]))]
+    text = lambda: " ".join(f"v{r.randint(0, 10**6)}" for _ in range(40))
+    docs = text_rows(spark, [(i, f"{text()} {least} {text()}") for i in range(2000)])
+    parts = 16
+    hot = substring.hot_slots(docs, parts)
+    w = substring.Words("".join(x.text + "\n" for x in docs.collect()).encode())
+    sizes = []
+    for mask in (None, hot):
+        a, z, key = substring.super_kmers(w, hot=mask)
+        sizes.append(np.bincount(((key >> np.uint64(20)) % np.uint64(parts)).astype(int), weights=z - a - 11, minlength=parts))
+    assert hot.sum() == 1
+    assert sizes[0].sum() == sizes[1].sum() == 2000 * 71
+    assert sizes[0].max() > 2 * sizes[0].mean() and sizes[1].max() < 1.2 * sizes[1].mean()
+
+
 def test_simhash_against_brute_force(spark):
     import xxhash
 

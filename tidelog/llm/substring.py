@@ -6,6 +6,11 @@ the minimiser: equal windows have equal minimisers, so each bucket counts its wi
 hashes and comparing the bytes of equal ones. Words covered by a window that also starts in a document with a
 smaller id are removed; windows are judged on the input.
 
+A minimiser that stands in as many windows as the average part holds would make its bucket as large as all others of
+a part, whatever their number. Such hot minimisers are found first, by a count over all windows in which each task
+leaves out what could not matter (see ``hot_slots``); their windows go by the hash of the whole window instead, which
+divides any bucket of different windows. Equal windows still meet, as they have one minimiser and one hash.
+
 Before the shuffle a task combines equal strings of a chunk of documents: only the smallest document's go on, as
 any other document of the chunk is covered by it already. A passage in every document thus costs its bucket one
 string a chunk. Chunks and buckets are held as numpy arrays; strings travel compressed.
@@ -26,12 +31,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..shipping import ship
 from .common import map_rows, whole_text
 
 WINDOW, MER = 13, 3
 CHUNK, PIECE, LONGEST = 6 << 20, 1 << 20, 256  # bytes of a chunk, bytes hashed at a time, windows of a string
+SLOTS, SLACK = 1 << 16, 8  # slots that minimisers are counted in, at least; a task leaves out slots under 1/SLACK of a part
 PARTS = 2  # parts of the buckets for each shuffle partition; targets are as many as shuffle partitions
 BASE = 0x9E3779B97F4A7C15 | 1
 U = np.uint64
@@ -80,8 +87,13 @@ class Words:
         return np.flatnonzero(self.line[:n] == self.line[size - 1 :]) if n > 0 else np.empty(0, np.int64)
 
 
-def super_kmers(w: Words, window: int = WINDOW, mer: int = MER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, last word, minimiser) of each run of windows with one minimiser."""
+def _slot(key: np.ndarray, slots: int) -> np.ndarray:
+    return ((key >> U(32)) % U(slots)).astype(np.int64)
+
+
+def super_kmers(w: Words, window: int = WINDOW, mer: int = MER, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, last word, key) of each run of windows with one key: the minimiser, or the hash of the window
+    where the minimiser's slot is ``hot``."""
     at = w.windows(window)
     if not len(at):
         return at, at, np.empty(0, U)
@@ -93,6 +105,8 @@ def super_kmers(w: Words, window: int = WINDOW, mer: int = MER) -> tuple[np.ndar
     if span < need:
         least = np.minimum(least[: len(whole) - need + 1], least[need - span : need - span + len(whole) - need + 1])
     mine = least[at]
+    if hot is not None and hot.any():
+        mine = np.where(hot[_slot(mine, len(hot))], w.runs(window)[at], mine)
     first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (mine[1:] != mine[:-1])])
     ends = np.r_[first[1:], len(at)]
     if (ends - first).max() > LONGEST:  # windows stay in their bucket wherever a long run is divided
@@ -149,8 +163,8 @@ def _read_block(block: bytes, into: dict[int, list[bytes]]) -> None:
 class _Chunk:
     """Equal strings of a chunk combined."""
 
-    def __init__(self, parts: int, targets: int, window: int, mer: int):
-        self.parts, self.targets, self.window, self.mer = parts, targets, window, mer
+    def __init__(self, parts: int, targets: int, window: int, mer: int, hot: np.ndarray | None = None):
+        self.parts, self.targets, self.window, self.mer, self.hot = parts, targets, window, mer, hot
         self.docs: list[tuple[int, bytes]] = []
         self.size = 0
 
@@ -172,7 +186,7 @@ class _Chunk:
             ids = np.array([d for d, _ in self.docs[at:upto]], np.int64)
             data = b"".join(t + b"\n" for _, t in self.docs[at:upto])
             w = Words(data)
-            a, z, key = super_kmers(w, self.window, self.mer)
+            a, z, key = super_kmers(w, self.window, self.mer, self.hot)
             doc = ids[w.line[a]]
             line_start = np.r_[0, np.flatnonzero(np.diff(w.line)) + 1]
             place = a - line_start[w.line[a]]
@@ -279,16 +293,57 @@ def _targets(docs: DataFrame) -> int:
     return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def hot_slots(docs: DataFrame, parts: int, window: int = WINDOW, mer: int = MER) -> np.ndarray:
+    """Which slots of minimisers hold more windows than the average of ``parts``, as a mask.
+
+    Every window is counted. A task reports the slots that hold at least 1/(SLACK x parts) of its own windows, so what
+    all tasks leave out of a slot is under 1/SLACK of an average part: at a threshold lowered by as much no hot slot is
+    missed. At most SLACK x parts rows leave a task, and no more than about ``parts`` reach the driver."""
+    ship(docs.sparkSession)
+    slots = max(SLOTS, 1 << (SLACK * parts - 1).bit_length())
+
+    def tally(batches):
+        counts = np.zeros(slots, np.int64)
+
+        def add(texts: list[bytes]) -> None:
+            a, z, key = super_kmers(Words(b"".join(texts)), window, mer)
+            np.add.at(counts, _slot(key, slots), z - a - (window - 2))
+
+        texts, size = [], 0
+        for batch in batches:
+            for text in batch.column(0):
+                words = text.as_py().encode().split()
+                if len(words) >= window:
+                    texts.append(b" ".join(words) + b"\n")
+                    size += len(texts[-1])
+                    if size >= PIECE:
+                        add(texts)
+                        texts, size = [], 0
+        if texts:
+            add(texts)
+        total = int(counts.sum())
+        found = np.flatnonzero(counts * (SLACK * parts) >= max(1, total))
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[found, -1].astype(np.int32)), pa.array(np.r_[counts[found], total])], names=["slot", "n"])
+
+    sums = docs.filter(F.col("doc_id").isNotNull()).select(whole_text().alias("text")).mapInArrow(tally, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    total = F.max(F.when(F.col("slot") == -1, F.col("n"))).over(Window.partitionBy())
+    hot = np.zeros(slots, bool)
+    for row in sums.withColumn("total", total).filter(f"slot >= 0 AND n * {SLACK * parts} > total * {SLACK - 1}").select("slot").collect():
+        hot[row.slot] = True
+    return hot
+
+
 def covers(docs: DataFrame, window: int = WINDOW, mer: int = MER) -> DataFrame:
     """(target, data): blocks of covered word intervals of the documents of a target."""
     ship(docs.sparkSession)
     targets = _targets(docs)
     parts = PARTS * targets
+    hot = hot_slots(docs, parts, window, mer)
     schema = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
     out = pa.schema([("target", pa.int32()), ("data", pa.binary())])
 
     def gather(batches):
-        chunk = _Chunk(parts, targets, window, mer)
+        chunk = _Chunk(parts, targets, window, mer, hot)
 
         def rows():
             for row in chunk.flush():
