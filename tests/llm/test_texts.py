@@ -70,6 +70,20 @@ def test_guess_costs():
     assert "xK9" not in secret_scan.redact_text("pwd = xK9!vQ2#mLr7@Tz.")
 
 
+def test_guess_spans_reach_past_base_spans():
+    text = "password: Winter2024!xQ9$zz, next"
+    base, spans, cost = secret_scan.find_spans(text)
+    assert base == [(0, "assign", 20)] and cost >= secret_scan.MIN_COST
+    assert spans == [(0, "assign", 20), (10, "guess", 27)]
+    assert secret_scan.redact_text(text) == "[assign secret removed], next"
+    # two base spans inside one value, and a value that base spans cover wholly
+    text = "token=" + "a1b2c3d4" * 4 + "!" + "0f9e8d7c" * 4 + "!zQ"
+    assert [k for _, k, _ in secret_scan.find_spans(text)[1]] == ["assign", "hex", "guess", "hex"]
+    assert secret_scan.redact_text(text) == "[assign secret removed]"
+    base, spans, cost = secret_scan.find_spans("secret=xK9vQ2mLr7TzWq")
+    assert cost >= secret_scan.MIN_COST and spans == base == [(0, "assign", 21)]
+
+
 def test_bpe_equals_the_library_and_edits_are_exact():
     import tiktoken
 

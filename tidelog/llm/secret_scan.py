@@ -3,7 +3,8 @@
 Base kinds: ``assign``, ``access`` and ``hex``. The method adds kind ``guess``: values that stand in a
 credential context and would take at least ``10**MIN_COST`` guesses. A value's cost is the least sum,
 over its segmentations into words, dates, repeats, keyboard walks and brute-force spans, of each
-segment's log10 guesses. A ``guess`` span never overlaps a base span or another ``guess`` span.
+segment's log10 guesses. A ``guess`` span is left out only where base spans cover it wholly: a value whose
+head alone is a base span keeps both. ``guess`` spans never overlap one another.
 
 Null texts count as empty and give no spans. Texts of any length are read whole: the programme's
 time is linear in a value's length. Repeated rows give repeated results; other columns are ignored.
@@ -14,8 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
-from itertools import accumulate
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -103,13 +103,18 @@ def find_spans(text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, s
     base = base_spans(text, low)
     added, most = [], 0.0
     if any(k in low for k in ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "auth")):
-        begins, reach = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
+        covered: list[tuple[int, int]] = []  # the base spans, merged where they overlap or touch
+        for s, _, e in base:
+            if covered and s <= covered[-1][1]:
+                covered[-1] = (covered[-1][0], max(covered[-1][1], e))
+            else:
+                covered.append((s, e))
         for m in CONTEXT.finditer(text):
             cost = guess_cost(m[1].rstrip(".!?:"))
             most = max(most, cost)
             start, end = m.start(1), m.start(1) + len(m[1].rstrip(".!?:"))
-            before = bisect_left(begins, end)  # base spans that begin before the value ends
-            if cost >= MIN_COST and not (before and reach[before - 1] > start):
+            before = bisect_right(covered, start, key=lambda c: c[0])  # merged spans that begin no later than the value
+            if cost >= MIN_COST and not (before and covered[before - 1][1] >= end):
                 added.append((start, "guess", end))
     return base, sorted(base + added, key=lambda x: (x[0], KINDS.index(x[1]))), most
 
