@@ -31,6 +31,26 @@ def test_blocks_decode_and_join_white_space(model):
     assert html.main_text(model, [page]) == ["A & B\none two three four\n<five>"]
 
 
+def test_nothing_after_unclosed_elements_is_lost(model):
+    form = "<form><input list=x><datalist id=x><option value=A><option value=B></datalist></form>"
+    article = "<article><h1>A title</h1><p>Words of the article, which go on for a while.</p><p>More words of the article follow here.</p></article>"
+    want = "A title\nWords of the article, which go on for a while.\nMore words of the article follow here."
+    for before in (form, "<object data=a>", "<canvas>", "<svg>", "<math>", "<select><option>", "<noscript>", "<template>", "<textarea>", "<script>"):
+        page = f"<html><body>{before}{article}</body></html>"
+        assert [t for t, _, _ in html.blocks(page)][-3:] == want.split("\n"), before
+    assert html.main_text(model, [f"<html><body>{form}{article}</body></html>"]) == [want]
+
+
+def test_formulas_drawings_and_choices():
+    words = lambda page: [t for t, _, _ in html.blocks(page)]
+    formula = "<math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></mrow><annotation>E=mc^2</annotation></semantics></math>"
+    assert words(f"<p>Here {formula} holds.</p>") == ["Here E=mc2 holds."]
+    assert words("<p>See <svg><title>icon</title><g><path d='M0'/><path d='M1'/></g></svg> here.</p><p>Next</p>") == ["See here.", "Next"]
+    found = html.blocks("<p>Sales <svg><text>May</text><text>June</text></svg> rose.</p>")
+    assert [(t, [n[0] for n in path]) for t, path, _ in found] == [("Sales", ["p"]), ("May", ["p", "svg", "text"]), ("June", ["p", "svg", "text"]), ("rose.", ["p"])]
+    assert words("<p>Colour</p><select><option>Red<option>Blue</select><p>Done <object data=a>Its text</object></p>") == ["Colour", "Red", "Blue", "Done", "Its text"]
+
+
 def test_odd_pages(spark, model):
     schema = "page_id long, url string, html string, text string, path string"
     odd = [(1, None, None, "t", "p"), (2, "u", "", "t", "p"), (3, "u", "<p>" * 3000 + "x", "t", "p"), (3, "u", "<<<>>> & < a", None, None), (None, None, "<div " + "x" * 1000, "t", "p")]

@@ -8,8 +8,11 @@ menus, headers, sidebars, notices, adverts, forms, comments and footers around a
 words; no page of the table takes part. The fit does not depend on the input and takes some seconds.
 
 Null html counts as empty; pages without main text give an empty text and n_chars 0. Long pages are labelled whole.
-Markup that is broken or not closed is read as it stands: text belongs to the block that is open. Repeated rows give
-repeated results; an empty table gives an empty table; other columns are ignored.
+Markup that is broken or not closed is read as it stands: text belongs to the block that is open. Left out is only what
+HTML reads as raw text or never shows (scripts, styles, templates, sources of formulas, titles of drawings), and only up
+to an end tag that is there. Formulas are part of their sentence; text of drawings, objects, canvases and choices is
+labelled as blocks of its own. Repeated rows give repeated results; an empty table gives an empty table; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -28,13 +31,16 @@ from .common import Memo, map_rows
 PATHS, WORDS, SIZES, HIDDEN, SEED = 256, 64, 5, 16, 5
 DIM = PATHS + WORDS + SIZES
 
-# Elements whose text is no text, elements inside a block, and elements without end tag.
-RAW = "script style noscript template svg math canvas iframe object select option textarea".split()
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
+# Elements that HTML reads as raw text or never shows, elements inside a block, those that end a block only
+# where they have text, and elements without end tag.
+RAW = "script style noscript iframe textarea template annotation annotation-xml desc metadata".split()
+MATH = set("math maction menclose merror mfenced mfrac mi mlabeledtr mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
+DRAWN = set("object canvas svg animate animatemotion animatetransform circle clippath defs ellipse filter foreignobject g image line lineargradient marker mask mpath path pattern polygon polyline radialgradient rect set stop switch symbol text textpath tspan use view".split())
+INLINE = MATH | set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in [*RAW, "title"]}
 
 
 @lru_cache(50_000)
@@ -53,39 +59,55 @@ def blocks(page: str) -> list[tuple[str, tuple[tuple[str, ...], ...], int]]:
     parts: list[str] = []
     at = link_from = linked = 0
     in_link = False
+    held = None  # path and innermost element of the open block, once a drawn element began or ended in it
+    missing = set()  # raw elements without an end tag in the rest of the page
+
+    def here():
+        return tuple(n for _, n in stack), stack[-1] if stack else None
 
     def flush():
-        nonlocal linked, in_link
+        nonlocal linked, in_link, held
         if parts:
             raw = "".join(parts)
             text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
             if text:
-                out.append((text, tuple(n for _, n in stack), min(linked, len(text))))
+                out.append((text, held[0] if held else here()[0], min(linked, len(text))))
             parts.clear()
-        linked, in_link = 0, False
+        linked, in_link, held = 0, False, None
+
+    def add(text):
+        nonlocal linked, in_link, held
+        if held and text.strip():
+            if held[1] is not here()[1]:
+                link = in_link
+                flush()
+                in_link = link
+            held = None
+        parts.append(text)
+        if in_link:
+            linked += len(text)
 
     end = len(page)
     while at < end:
         m = TAG.search(page, at)
         if m is None:
-            parts.append(page[at:])
-            if in_link:
-                linked += end - at
+            add(page[at:])
             break
         if m.start() > at:
-            parts.append(page[at : m.start()])
-            if in_link:
-                linked += m.start() - at
+            add(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             if m[0].startswith("<![CDATA["):
-                parts.append(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
+                add(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
             continue
         tag = m[2].lower()
-        if tag in RAW_END:
-            if not m[1] and not m[3].endswith("/"):
+        if tag in RAW_END and (tag != "title" or any(t == "svg" for t, _ in stack)):
+            if not m[1] and not m[3].endswith("/") and tag not in missing:
                 close = RAW_END[tag].search(page, at)
-                at = close.end() if close else end
+                if close:
+                    at = close.end()
+                else:
+                    missing.add(tag)
             continue
         if tag in INLINE:
             if tag == "a":
@@ -93,14 +115,17 @@ def blocks(page: str) -> list[tuple[str, tuple[tuple[str, ...], ...], int]]:
             elif tag == "br":
                 parts.append(" ")
             continue
-        flush()
+        if tag not in DRAWN:
+            flush()
+        elif parts and not held:
+            held = here()
         if m[1]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
                     break
-        elif tag not in VOID:
-            if stack and stack[-1][0] == tag and tag in ("p", "li", "dt", "dd", "tr", "td", "th"):
+        elif tag not in VOID and not (tag in DRAWN and m[3].endswith("/")):
+            if stack and stack[-1][0] == tag and tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
                 stack.pop()
             stack.append((tag, _names(tag, m[3])))
             if len(stack) > 200:  # absurdly deep markup: the outermost elements tell nothing more
