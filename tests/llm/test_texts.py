@@ -214,6 +214,15 @@ def test_packing_is_whole_and_tight(spark, sf_dir):
     assert len({x["sequence_id"] for x in got}) <= 1.02 * sum(x["length"] for x in got) / 1024 + 1
 
 
+def test_added_tokens_are_read_as_the_library_reads_them():
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    tok, own = Tokenizer.from_file(path), packing.tokens(path)
+    for text in ("x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n", "<|endoftext|", "plain"):
+        assert np.frombuffer(own.packed(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
 def check_sequences(got):
     seqs: dict = {}
     for x in got:

@@ -37,7 +37,8 @@ class Tokens:
     """The ids that the ``tokenizers`` library gives for a byte-level BPE file (ids in the order of merges).
 
     That library took 460 CPU seconds a GB of tables here, so its vocabulary is read into a faster encoder of the
-    same ids; tests hold the two against each other."""
+    same ids, added tokens such as ``<|endoftext|>`` included, as the library's plain call reads them; tests hold the
+    two against each other."""
 
     def __init__(self, path: str):
         import json
@@ -51,12 +52,14 @@ class Tokens:
         # byte-level files write printable bytes as themselves and the others, in order, as characters from 256 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
-        special = {t["content"] for t in spec["added_tokens"]}  # their strings in a text are ordinary text
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
+            raise ValueError(f"{path} has added tokens that take in their surroundings")
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}  # found in a text before anything else
         ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        self.encode = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+        self.encode = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special).encode_to_numpy
 
     def packed(self, text: str) -> bytes:
-        return self.encode(text, disallowed_special=()).astype("<u4").tobytes()
+        return self.encode(text, allowed_special="all").astype("<u4").tobytes()
 
 
 def tokens(path: str) -> Tokens:
