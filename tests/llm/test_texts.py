@@ -276,6 +276,25 @@ def test_dominance_keeps_an_optimum():
         assert sorted(x for p, n in patterns for _ in range(n) for x in p) == sorted(sizes)
 
 
+def test_reduction_goes_on_past_undecided_lengths():
+    # 15 has many sets with the short pieces; 13 and 7, 12 and 8, 11 and 9 are exact partners all the same
+    sizes = [15, 13, 12, 11, 9, 8, 7] + [1] * 3 + [2, 3]
+    patterns, fixed = packing.plan({x: sizes.count(x) for x in set(sizes)}, 20)
+    assert packing.dominating([sizes.count(x) for x in range(21)], 15, 20) is None and fixed >= 3
+    assert {(13, 7), (12, 8), (11, 9)} <= {p for p, _ in patterns}
+    r = random.Random(9)
+    for _ in range(150):
+        sizes = [r.randint(1, 20) for _ in range(r.randint(1, 9))]
+        patterns, fixed = packing.plan({x: sizes.count(x) for x in set(sizes)}, 20)
+        rest, seen = list(sizes), 0
+        for p, n in patterns:
+            if seen < fixed:
+                seen += n
+                for x in p * n:
+                    rest.remove(x)
+        assert fixed + brute_bins(sorted(rest, reverse=True), 20) == brute_bins(sorted(sizes, reverse=True), 20)
+
+
 @pytest.mark.parametrize("name, label, least", [("quality", "quality", 0.95), ("toxicity", "toxic", 0.9)])
 def test_held_out_accuracy(spark, name, label, least):
     sf = "/root/testdata/sf0.1"

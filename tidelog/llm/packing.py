@@ -2,9 +2,9 @@
 
 Documents become token pieces of at most ``capacity``; only longer documents are cut, and their first piece takes
 the remainder. All that packing needs of the corpus is how many pieces there are of each length: a table of at most
-``capacity`` rows. On it the driver first fixes, for the longest lengths, sets of at most three pieces that provably
-dominate every other set with that piece (an exact or largest partner where no second one fits, or two partners that
-bound each alternative), for as many copies at once as there are. The rest is packed best fit, longest first. The
+``capacity`` rows. On it the driver first fixes, from the longest length to the shortest, sets of at most three pieces that
+provably dominate every other set with that piece (an exact or largest partner where no second one fits, or two partners
+that bound each alternative), for as many copies at once as there are; lengths without such a set are passed over. The rest is packed best fit, longest first. The
 result is a table of slots whose size depends on the number of lengths, not of documents; each piece finds its slot
 by its rank among the pieces of its length, which is counted in two levels so that no length meets in one task.
 
@@ -93,7 +93,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
 
 
 def dominating(count: list[int], i: int, capacity: int) -> tuple[int, ...] | None:
-    """Partners of a piece of length ``i`` (the longest left) in a set that dominates all its other sets, or None.
+    """Partners of a piece of length ``i``, of all pieces left, in a set that dominates all its other sets, or None.
     Dominates: the pieces of any other set can take their places, so some optimum has this set."""
     room = capacity - i
     here = [x for x in range(room, 0, -1) if count[x] - (x == i) > 0]
@@ -132,7 +132,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tupl
             continue
         partners = dominating(count, i, capacity)
         if partners is None:
-            break
+            i -= 1
+            continue
         lengths = (i, *partners)
         # as often as the argument stays the same: counts of up to three are looked at one by one
         times = min(count[x] // lengths.count(x) for x in lengths)
@@ -143,7 +144,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tupl
     fixed = sum(n for _, n in out)
     # best fit, longest first: bins by the room they have left
     bins: list[list[tuple[tuple[int, ...], int]]] = [[] for _ in range(capacity + 1)]
-    for length in range(i, 0, -1):
+    for length in range(capacity, 0, -1):
         n = count[length]
         room = length
         while n:
