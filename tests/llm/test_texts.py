@@ -70,6 +70,36 @@ def test_guess_costs():
     assert "xK9" not in secret_scan.redact_text("pwd = xK9!vQ2#mLr7@Tz.")
 
 
+def brute_cost(value):
+    """The cheapest segmentation, by trying every segment at every place."""
+    S, low, n = secret_scan, value.lower(), len(value)
+    plain = low.translate(S.LEET)
+    best = [0.0]
+    for i in range(1, n + 1):
+        costs = []
+        for a in range(i):
+            part, size = low[a:i], i - a
+            costs.append(best[a] + (S.SEGMENT if a else 0) + sum(map(S._brute, value[a:i])))
+            start = best[a] + S.SEGMENT
+            if size >= 3 and (len(set(part)) == 1 or all(x in S.NEXT for x in zip(part, part[1:]))):
+                costs.append(start + np.log10(47) + np.log10(size))
+            if S.DATE.fullmatch(value[a:i]):
+                costs.append(start + np.log10(119 if size == 4 else 365 * 119))
+            for form, extra in ((part, 0.0), (plain[a:i], np.log10(4))):
+                if form in S.RANK:
+                    costs.append(start + np.log10(S.RANK[form] + 1) + extra + (0.0 if value[a:i] == part else np.log10(3)))
+        best.append(min(costs))
+    return best[n]
+
+
+def test_guess_cost_is_the_least():
+    r = random.Random(3)
+    parts = ["root", "yuiop", "Test", "aaaa", "1999", "20240131", "31-12-2001", "qwe", "t", "0", "rr", "12345", "x!", "p@ss", "zzz", "oooo", "19", "nopq"]
+    values = ["rootyuiop", "passsss", "120012001", "3120240131"] + ["".join(r.choices(parts, k=r.randint(1, 6))) for _ in range(300)]
+    for value in values:
+        assert abs(secret_scan.guess_cost(value) - brute_cost(value)) < 1e-9, value
+
+
 def test_guess_spans_reach_past_base_spans():
     text = "password: Winter2024!xQ9$zz, next"
     base, spans, cost = secret_scan.find_spans(text)

@@ -56,25 +56,38 @@ def guess_cost(value: str) -> float:
     low = value.lower() if len(value.lower()) == len(value) else value
     plain = low.translate(LEET)
     n = len(value)
-    dates = {}
-    for m in DATE.finditer(value):
-        dates[m.end()] = (m.start(), math.log10(119) if m.end() - m.start() == 4 else math.log10(365 * 119))
     best = [0.0] + [math.inf] * n  # cheapest cover of each prefix
     brute = math.inf  # cheapest cover of the prefix whose last segment is brute force
-    run = walk = 0  # where the repeat and the walk that end here began
+    run = walk = 0  # where the longest repeat and walk that end here began
+    runs, walks = [], []  # starts inside them that may still be the cheapest
     for i in range(1, n + 1):
         ch = _brute(value[i - 1])
         brute = min(brute, best[i - 1] + (SEGMENT if i > 1 else 0)) + ch
         least = brute
         if i > 1:
             if low[i - 1] != low[i - 2]:
-                run = i - 1
+                run, runs = i - 1, []
             if (low[i - 2], low[i - 1]) not in NEXT:
-                walk = i - 1
-        for began in ((run,) if i - run >= 3 else ()) + ((walk,) if i - walk >= 3 else ()):
-            least = min(least, best[began] + SEGMENT + math.log10(47) + math.log10(i - began))
-        if i in dates:
-            least = min(least, best[dates[i][0]] + SEGMENT + dates[i][1])
+                walk, walks = i - 1, []
+        for first, starts in (run, runs), (walk, walks):
+            if i - first >= 3:
+                # a start no cheaper than an earlier one stays so, as the lead of the shorter length only shrinks;
+                # nor can an earlier one win whose prefix costs no less
+                while starts and best[starts[-1]] >= best[i - 3]:
+                    starts.pop()
+                starts.append(i - 3)
+                cheapest, live = math.inf, []
+                for began in starts:
+                    cost = best[began] + math.log10(i - began)
+                    if cost < cheapest:
+                        cheapest = cost
+                        live.append(began)
+                starts[:] = live
+                least = min(least, cheapest + SEGMENT + math.log10(47))
+        if value[i - 1].isdecimal():
+            for size in (4, 8, 9, 10):
+                if size <= i and DATE.fullmatch(value, i - size, i):
+                    least = min(least, best[i - size] + SEGMENT + (math.log10(119) if size == 4 else math.log10(365 * 119)))
         for size in range(3, min(LONGEST_WORD, i) + 1):
             for form, extra in ((low, 0.0), (plain, math.log10(4))):
                 rank = RANK.get(form[i - size : i])
