@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, remove
 
 
 def splittable(rows: DataFrame, totals: DataFrame, key: str) -> DataFrame:
@@ -29,7 +29,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # small star: a vertex and those below it are tied to the least below it
         least = large.groupBy("v").agg(F.min("root").alias("m"))
         small = splittable(large, least, "v").filter("root <> m").select(F.col("root").alias("v"), F.col("m").alias("root"))
-        now = cut(small.unionAll(least.select("v", F.col("m").alias("root"))).distinct(), "edges")
+        now, old = cut(small.unionAll(least.select("v", F.col("m").alias("root"))).distinct(), "edges"), now
+        remove(old)
         after = now.agg(F.count("*"), F.sum(F.xxhash64("v", "root").cast("decimal(38,0)"))).first()
         if after == before:
             return now
