@@ -1,12 +1,13 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the average of the learned vectors of its features: a hashed vector for each word and for
-each character n-gram of it, one for word bigrams that repeat a word, whatever the word, and one end mark, so
-that empty texts have a vector too. A softmax layer over
-the average gives the classes. Vectors and layer are learned by plain numpy stochastic gradient descent
-over at most ``rows`` labelled documents outside the held-out fold (a bounded, documented sample); scoring
-reads every whole text. As softmax and average are linear in the vectors up to the last step, each bucket
-is folded to one number for scoring, and a word costs one lookup.
+A document is the average of the learned vectors of its features: a hashed vector for each word, for each character
+n-gram of a word and for each word bigram, and one end mark, so that empty texts have a vector too. Bigrams that repeat
+their word share one vector, whatever the word, as words that never occurred in training may be repeated too. A softmax
+layer over the average gives the classes. Vectors and layer are learned by plain numpy stochastic gradient descent on the
+cross entropy (one document a step, one rate for the vectors and one for the layer, both falling to zero) over at most
+``rows`` labelled documents and ``SAMPLE_BYTES`` of text outside the held-out fold (a bounded, documented sample); scoring
+reads every whole text. As softmax and average are linear in the vectors up to the last step, each bucket is folded to one
+number for scoring, and a word costs one lookup.
 
 Null texts count as empty. Null labels and labels without document teach nothing; without any labelled
 row, or with one class only, every score is the share of label 1 (0.5 if there is none). Repeated rows
@@ -16,9 +17,8 @@ and ids get equal scores; an empty table gives an empty table; other columns are
 from __future__ import annotations
 
 import math
+import struct
 from collections import Counter
-from itertools import islice
-from operator import eq
 from typing import Iterator
 from zlib import crc32
 
@@ -28,12 +28,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import Memo, held_out, labelled_sample, map_rows, whole_text
+from .common import Memo, held_out, labelled_sample, map_rows, remove, whole_text
 
-BUCKETS, DIM, GRAMS = 1 << 17, 8, (3, 4)
-ROWS, EPOCHS, RATE, SEED = 4000, 6, 0.4, 7
-END, SAME = 0, 1  # buckets of the end mark and of a word that repeats the word before it
-SAME_TIMES = 8.0  # a repeat counts as so many features, about as many as a word has
+BUCKETS, DIM, GRAMS = 1 << 18, 8, (3, 4)
+ROWS, EPOCHS, RATE, VECTOR_RATE, SEED = 4000, 6, 0.5, 20.0, 7
+END, SAME = 0, 1  # buckets of the end mark and of bigrams that repeat their word
+STRETCH = 1 << 16  # words looked at together
+WORD = np.dtype([("hash", "<u8"), ("sum", "<f8"), ("n", "<f8")])
+
+
+def word_hash(word: str) -> int:
+    data = word.encode()
+    return crc32(data) | crc32(data, 77) << 32
 
 
 def features(word: str) -> list[int]:
@@ -45,16 +51,26 @@ def features(word: str) -> list[int]:
     return out
 
 
-def repeats(words: list[str]) -> float:
-    return SAME_TIMES * sum(map(eq, words, islice(words, 1, None)))
+def bigrams(hashes: np.ndarray) -> np.ndarray:
+    """Buckets of the word bigrams of consecutive words."""
+    a, b = hashes[:-1], hashes[1:]
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    out = (2 + (x >> np.uint64(20)) % np.uint64(BUCKETS - 2)).astype(np.int64)
+    out[a == b] = SAME
+    return out
 
 
 def feature_counts(text: str, memo) -> tuple[bytes, bytes]:
     words = text.split()
-    found: Counter = Counter({END: 1.0, SAME: repeats(words)})
+    found: Counter = Counter({END: 1})
     for word, n in Counter(words).items():
         for f in memo[word]:
             found[f] += n
+    if len(words) > 1:
+        buckets, n = np.unique(bigrams(np.fromiter(map(word_hash, words), np.uint64, len(words))), return_counts=True)
+        for f, k in zip(buckets.tolist(), n.tolist()):
+            found[f] += k
     return np.fromiter(found.keys(), np.uint32, len(found)).tobytes(), np.fromiter(found.values(), np.float32, len(found)).tobytes()
 
 
@@ -62,7 +78,7 @@ def collect_features(sample: DataFrame) -> list[tuple[np.ndarray, np.ndarray, in
     """The bounded sample's features, in the order of ids."""
 
     def make():
-        memo = Memo(features, 100_000)
+        memo = Memo(features, 16 << 20)
 
         def step(b):
             got = [feature_counts(t, memo) for t in b["text"]]
@@ -75,50 +91,62 @@ def collect_features(sample: DataFrame) -> list[tuple[np.ndarray, np.ndarray, in
     return [(np.frombuffer(r.f, np.uint32), np.frombuffer(r.n, np.float32), int(r.label)) for r in rows]
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> np.ndarray:
+def loss_and_gradients(mine: np.ndarray, part: np.ndarray, layer: np.ndarray, y: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """Cross entropy of one document and its gradients by the vectors of its features and by the layer."""
+    mean = part @ mine
+    logits = mean @ layer
+    p = np.exp(logits - logits.max())
+    p /= p.sum()
+    loss = -math.log(max(float(p[y]), 1e-30))
+    p[y] -= 1
+    return loss, part[:, None] * (layer @ p), np.outer(mean, p)
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, rate: float = RATE, vector_rate: float = VECTOR_RATE, seed: int = SEED) -> np.ndarray:
     """Folded weights, one for each bucket: the class-1 minus class-0 logit of its vector."""
     random = np.random.default_rng(seed)
     ones = sum(y for _, _, y in rows)
     if not rows or ones in (0, len(rows)):
         share = ones / len(rows) if rows else 0.5
-        return np.full(BUCKETS, math.log((share + 1e-3) / (1 - share + 1e-3)))
+        return np.full(BUCKETS, math.log((share + 1e-3) / (1 - share + 1e-3)), np.float32)
     vectors = random.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     layer = np.zeros((DIM, 2), np.float32)
     steps, done = epochs * len(rows), 0
     for _ in range(epochs):
         for k in random.permutation(len(rows)):
             f, n, y = rows[k]
-            part = (n / n.sum())[:, None]
             mine = vectors[f]
-            mean = (mine * part).sum(0)
-            logits = mean @ layer
-            p = np.exp(logits - logits.max())
-            p /= p.sum()
-            p[y] -= 1
-            lr = rate * (1 - done / steps)
-            back = layer @ p
-            layer -= lr * np.outer(mean, p)
-            vectors[f] = mine - lr * part * back * len(f) ** 0.5  # a rare feature's share is tiny; the root keeps steps comparable
+            _, by_vectors, by_layer = loss_and_gradients(mine, n / n.sum(), layer, y)
+            left = 1 - done / steps
+            layer -= rate * left * by_layer
+            vectors[f] = mine - vector_rate * left * by_vectors
             done += 1
-    return (vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float64)
+    return vectors @ (layer[:, 1] - layer[:, 0])
 
 
 def fit(spark: SparkSession, docs: DataFrame, sf_dir: str, rows: int = ROWS) -> np.ndarray:
-    return train(collect_features(labelled_sample(spark, docs, sf_dir, "quality", rows)))
+    sample = labelled_sample(spark, docs, sf_dir, "quality", rows)
+    found = collect_features(sample)
+    remove(sample)
+    return train(found)
 
 
 def scorer(weights: np.ndarray):
-    def of(word: str) -> complex:
+    def of(word: str) -> bytes:
         found = features(word)
-        return complex(float(weights[found].sum()), len(found))
+        return struct.pack("<Qdd", word_hash(word), float(weights[found].sum(dtype=np.float64)), len(found))
 
     memo = Memo(of)
 
     def score(text: str) -> float:
         words = text.split()
-        same = repeats(words)
-        total = sum(map(memo.__getitem__, words), complex(float(weights[END] + same * weights[SAME]), 1 + same))
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, total.real / total.imag))))
+        total, n = float(weights[END]), 1.0
+        for at in range(0, len(words), STRETCH):  # bounded memory for very long texts; stretches share a word for the bigrams
+            known = np.frombuffer(b"".join(map(memo.__getitem__, words[max(0, at - 1) : at + STRETCH])), WORD)
+            own = known[1:] if at else known
+            total += float(own["sum"].sum() + weights[bigrams(known["hash"])].sum(dtype=np.float64))
+            n += float(own["n"].sum()) + len(known) - 1
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, total / n))))
 
     return score
 
