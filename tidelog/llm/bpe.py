@@ -2,7 +2,7 @@
 
 For each byte prefix of a piece exactly one token can be the last of its encoding: the one that forms a
 valid pair with the last token of the prefix before it. Storing that token for each prefix encodes in time
-linear in the piece, lets bytes be appended exactly, and lets an edit be re-encoded from where it is.
+linear in the piece, lets bytes be appended exactly, and lets an edit be re-encoded near where it is.
 
 Null texts count as empty (no ids). Texts and pieces of any length are encoded whole; repeated rows give
 repeated results; an empty table gives an empty table; other columns are ignored.
@@ -30,12 +30,13 @@ class Vocabulary:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.size = max(self.ranks.values()) + 1
+        self.longest = max(map(len, self.ranks))
         self.tokens = [b""] * self.size
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.left, self.right = list(range(self.size)), list(range(self.size))
         self.merged: dict[tuple[int, int], int] = {}
-        self.pairs = Memo(self._pair, 1_000_000)
+        self.pairs = Memo(self._pair)
         for token in self.tokens:  # by rank: a token's parts come before it
             if len(token) > 1:
                 self._split(token)
@@ -73,7 +74,7 @@ class Vocabulary:
 
 
 class Prefixes:
-    """The encoding of a growing byte string: ``last[i]`` is the last token of the first ``i`` bytes."""
+    """The encoding of a byte string that may grow or change: ``last[i]`` is the last token of the first ``i`` bytes."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
         self.v, self.data, self.last = vocabulary, b"", [-1]
@@ -83,19 +84,35 @@ class Prefixes:
         """Exact: the prefixes so far keep their tokens."""
         at = len(self.data)
         self.data += more
-        back = max(0, at - 256)
+        self._encode(at, len(self.data))
+
+    def _encode(self, at: int, upto: int) -> None:
+        """The last tokens of the prefixes of ``at + 1`` to ``upto`` bytes; no token begins further back than the longest."""
+        back = max(0, at - self.v.longest)
         v, last, pairs = self.v, self.last, self.v.pairs
-        last += [-1] * len(more)
-        for end, (rank, size) in v.machine.iter(self.data[back:].decode("latin-1")):
+        last += [-1] * (upto - at)
+        for end, (rank, size) in v.machine.iter(self.data[back:upto].decode("latin-1")):
             end += back + 1
             if end > at and last[end] < 0 and size <= end and (size == end or pairs[last[end - size], rank]):
                 last[end] = rank
 
-    def replace(self, start: int, end: int, new: bytes) -> None:
-        """Re-encode after ``data[start:end]`` became ``new``: prefixes before ``start`` stay."""
-        rest = new + self.data[end:]
-        self.data, self.last = self.data[:start], self.last[: start + 1]
-        self.append(rest)
+    def replace(self, start: int, end: int, new: bytes) -> int:
+        """``data[start:end]`` becomes ``new``. Prefixes before ``start`` keep their tokens, and behind the edit only as
+        many are encoded again as it takes until as many bytes as the longest token has, one after another, have the
+        tokens they had: all later ones depend on these alone. Returns how many prefixes were encoded."""
+        was, shift = self.last, len(new) - (end - start)
+        self.data = self.data[:start] + new + self.data[end:]
+        self.last = was[: start + 1]
+        seam, n, run = start + len(new), len(self.data), 0  # run: how many of the last prefixes have the token they had
+        at = start
+        while at < n and run < self.v.longest:
+            upto = min(n, max(seam, at) + self.v.longest)
+            self._encode(at, upto)
+            for i in range(max(seam, at) + 1, upto + 1):
+                run = run + 1 if self.last[i] == was[i - shift] else 0
+            at = upto
+        self.last += was[at - shift + 1 :]
+        return at - start
 
     def ids(self) -> list[int]:
         out, at = [], len(self.data)
@@ -126,7 +143,7 @@ class Encoder:
         import regex
 
         self.v, self.find = vocabulary(path), regex.compile(pattern).findall
-        self.pieces = Memo(self._piece, 600_000)
+        self.pieces = Memo(self._piece, 128 << 20)
 
     def _piece(self, piece: str) -> bytes:
         ids = encode_piece(self.v, piece.encode())
