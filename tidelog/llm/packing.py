@@ -55,6 +55,10 @@ class Tokens:
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError(f"{path} has added tokens that take in their surroundings")
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}  # found in a text before anything else
+        # ids must rank the merges, as the faster encoder merges by id
+        merged = [spec["model"]["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in spec["model"]["merges"]]
+        if merged != sorted(set(merged)):
+            raise ValueError(f"the ids of {path} are not in the order of its merges")
         ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self.encode = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special).encode_to_numpy
 
