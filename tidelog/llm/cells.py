@@ -21,15 +21,17 @@ LIMIT = 1024
 
 
 def deal(points: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """points: (cell, uid). Returns (cell, lo, hi, side, uid): side 0 in chunk lo, 1 in chunk hi (lo = hi: 0)."""
+    """points: (cell, uid, ...). Returns (cell, lo, hi, side, uid, ...): side 0 in chunk lo, 1 in chunk hi (lo = hi: 0)."""
     sizes = points.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
     dealt = points.join(sizes, "cell").withColumn("chunks", F.ceil(F.col("n") / limit).cast("int")).withColumn("mine", F.pmod(F.xxhash64("uid"), F.col("chunks")).cast("int"))
     once = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return once.select("cell", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "uid")
+    rest = [c for c in points.columns if c != "cell"]
+    return once.select("cell", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), (F.col("mine") > F.col("other")).cast("int").alias("side"), *rest)
 
 
-def sorted_blocks(dealt: DataFrame) -> DataFrame:
-    return dealt.repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi")
+def sorted_blocks(dealt: DataFrame, *inside: str) -> DataFrame:
+    """Blocks whole and in one task each, their rows in the order of ``inside``."""
+    return dealt.repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi", *inside)
 
 
 def whole_blocks(batches):
@@ -52,13 +54,17 @@ def whole_blocks(batches):
         yield left, np.ones(left.num_rows, np.int64)
 
 
-def pairs(block: np.ndarray, crossing: np.ndarray, side: np.ndarray):
-    """Arrays (i, j) of all pairs of rows in one block, by their distance; a crossing block pairs unlike sides only."""
+def pairs(block: np.ndarray, crossing: np.ndarray, side: np.ndarray, value: np.ndarray | None = None, reach: int = 0):
+    """Arrays (i, j) of all pairs of rows in one block, by their distance; a crossing block pairs unlike sides only.
+    With ``value``, by which each block is sorted, only pairs whose values are within ``reach``: a row leaves the search
+    with the first row out of its reach."""
     i = np.arange(len(block) - 1)
     step = 1
     while len(i):
         i = i[i + step < len(block)]
         i = i[block[i] == block[i + step]]
+        if value is not None:
+            i = i[value[i + step] - value[i] <= reach]
         j = i + step
         wanted = ~crossing[i] | (side[i] != side[j])
         for at in range(0, len(i), 200_000):

@@ -1,10 +1,16 @@
 """SimHash near-duplicates: segment popcounts, a grid join under Manhattan distance, exact verification.
 
 A fingerprint is mapped to the popcounts of its 32 two-bit segments. The Manhattan distance of two such vectors
-is at most the Hamming distance of the fingerprints, so it bounds it from below. The grid: the segments form
-``BLOCKS`` blocks; vectors within Manhattan distance d agree on all segments of at least BLOCKS - d blocks, so
-for some choice of that many blocks both stand in the same grid cell. Pairs of a cell whose Manhattan distance
-is within d are verified on the bits. No linked pair is missed, whatever the sizes.
+is at most the Hamming distance of the fingerprints, so it bounds it from below. The grid: the segments form a number of
+blocks; vectors within Manhattan distance d agree on all segments of at least blocks - d blocks, so
+for some choice of that many blocks both stand in the same grid cell. Inside a cell a range join: the sums of two vectors
+differ by no more than their Manhattan distance, so the members, sorted by their sums, are compared only with those in
+reach. Pairs whose Manhattan distance is within d are verified on the bits. No linked pair is missed, whatever the sizes.
+
+More blocks mean more cells a point and fewer strangers in each. ``blocks_for`` chooses them by the number of points: the
+result is the same with any. For fingerprints that are nothing alike and d = 4 this gives, for each point, cells and pairs
+of strangers to compare: 6 blocks, 15 and 50 at 235,000 points; 7 blocks, 35 and 250 at 10 million; 9 blocks, 126 and
+1,700 at a billion.
 
 Copies of a fingerprint are one point, so groups of copies of any size cost one row; large cells are divided
 into blocks (see ``cells``); a block returns a spanning forest of its links, not all of them.
@@ -16,6 +22,7 @@ of their own. An empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -27,7 +34,9 @@ from .cells import Forest, deal, pairs, run_blocks, sorted_blocks
 from .common import cut, map_rows, whole_text
 from .components import components, splittable
 
-DISTANCE, BLOCKS, SHINGLE, SEED = 4, 8, 4, 42
+DISTANCE, SHINGLE, SEED = 4, 4, 42
+ROW, PAIR = 1500, 30  # nanoseconds that a point in a cell and a compared pair take, roughly
+AGREE = math.log2(8 / 3)  # bits that a segment tells: two counts are equal with probability 3/8
 EVEN = np.uint64(0x5555555555555555)
 
 
@@ -64,7 +73,18 @@ def manhattan(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (np.bitwise_count(a ^ c) + 2 * np.bitwise_count(two)).astype(np.int64)
 
 
-def masks(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
+def blocks_for(points: int, distance: int = DISTANCE) -> int:
+    """The number of blocks that costs least for so many points that are nothing alike; two more than ``distance`` at least."""
+
+    def cost(blocks: int) -> float:
+        cells = math.comb(blocks, distance)
+        strangers = points / 2 ** (AGREE * 32 * (blocks - distance) / blocks) / 2
+        return cells * (ROW + PAIR * strangers)
+
+    return min(range(distance + 2, min(33, distance + 13)), key=cost)
+
+
+def masks(blocks: int, distance: int = DISTANCE) -> list[int]:
     """For each choice of blocks - distance blocks, the bits of their segments."""
     parts = np.array_split(np.arange(32), blocks)
     of = [sum(3 << int(2 * s) for s in part) for part in parts]
@@ -80,9 +100,9 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return map_rows(docs, ["doc_id", whole_text().alias("text")], "doc_id long, fp long", make)
 
 
-def links(points: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def links(points: DataFrame, distance: int = DISTANCE, blocks: int | None = None) -> DataFrame:
     """points: (fp), distinct. Links (a, b) of fingerprints that connect whatever is within ``distance``."""
-    chosen = masks(distance=distance)
+    chosen = masks(blocks or blocks_for(points.count(), distance), distance)
     fp = F.col("fp")
     even = F.lit(int(EVEN))
     low, high = fp.bitwiseAND(even), F.shiftrightunsigned(fp, 1).bitwiseAND(even)
@@ -92,7 +112,7 @@ def links(points: DataFrame, distance: int = DISTANCE) -> DataFrame:
     parts = max(1, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = points.select(fp.alias("uid"), counts.alias("counts")).repartition(parts, F.xxhash64("uid"))  # few bytes, many rows to come
     spread = dealt.select("uid", F.explode(cells).alias("cell"))
-    blocks = sorted_blocks(deal(spread))
+    met = sorted_blocks(deal(spread).withColumn("total", F.bit_count("uid")), "total")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def kernel(t, block, crossing, side):
@@ -100,7 +120,7 @@ def links(points: DataFrame, distance: int = DISTANCE) -> DataFrame:
         bits = own.view(np.uint64)
         vectors = segment_popcounts(bits)
         forest = Forest(len(own))
-        for i, j in pairs(block, crossing, side):
+        for i, j in pairs(block, crossing, side, t.column("total").to_numpy(), distance):
             near = manhattan(vectors[i], vectors[j]) <= distance
             i, j = i[near], j[near]
             near = np.bitwise_count(bits[i] ^ bits[j]) <= distance
@@ -109,13 +129,13 @@ def links(points: DataFrame, distance: int = DISTANCE) -> DataFrame:
             a, b = np.array(forest.links).T
             yield pa.RecordBatch.from_arrays([pa.array(own[a]), pa.array(own[b])], schema=schema)
 
-    return run_blocks(blocks, "a long, b long", kernel).distinct()
+    return run_blocks(met, "a long, b long", kernel).distinct()
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, size: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable)."""
     prints = cut(fingerprints(docs, size), "fingerprints")
-    points = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    points = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-points")
     found = components(links(points.select("fp"), distance)).select(F.col("v").alias("fp"), "root")
     rooted = points.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
