@@ -133,28 +133,49 @@ def test_bpe_equals_the_library_and_edits_are_exact():
         assert p.ids() == e._encode_single_piece(data[:a] + b"new" + data[b:])
 
 
+def brute_windows(docs):
+    """(id, words, words removed, digest) of each row, by a table of all windows."""
+    first: dict = {}
+    for i, t in docs:
+        w = (t or "").encode().split()
+        for k in range(len(w) - 12):
+            if i is not None:
+                first[tuple(w[k : k + 13])] = min(i, first.get(tuple(w[k : k + 13]), i))
+    out = []
+    for i, t in docs:
+        w = (t or "").encode().split()
+        gone = [False] * len(w)
+        for k in range(len(w) - 12):
+            if i is not None and first[tuple(w[k : k + 13])] < i:
+                gone[k : k + 13] = [True] * 13
+        kept = [x for x, g in zip(w, gone) if not g]
+        out.append((i, len(w), len(w) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+    return sorted(out, key=str)
+
+
+def test_substring_of_rows_with_one_id(spark, monkeypatch):
+    """Unlike rows of one id keep what no smaller id has; repeated rows stay equal; nulls and ties are defined."""
+    run = lambda c, n, step=1: " ".join(f"{c}{k}" for k in range(0, n * step, step))
+    docs = [(1, run("w", 20)), (2, run("w", 20)), (2, run("u", 20)), (2, run("u", 20)), (3, run("u", 20) + " " + run("v", 15)), (3, run("v", 15)), (None, run("w", 20)), (None, None), (4, None), (4, run("w", 20)), (4, "")]
+    docs += [(5, run("x", 30))] * 5000 + [(6, run("x", 30))] * 3
+    plan = substring.Plan
+    monkeypatch.setattr(substring, "Plan", lambda docs: plan(docs, 1 << 12, 1 << 13))
+    got = substring.digests(text_rows(spark, docs)).collect()
+    assert sorted(((x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in got), key=str) == brute_windows(docs)
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_substring_against_brute_force(spark, hot, monkeypatch):
-    if hot:  # every minimiser divided by the hash of the window
+    if hot:  # every minimiser divided by the hash of the window, and many small parts and targets
         monkeypatch.setattr(substring, "hot_slots", lambda docs, parts, window, mer: np.ones(substring.SLOTS, bool))
+        plan = substring.Plan
+        monkeypatch.setattr(substring, "Plan", lambda docs: plan(docs, 1 << 9, 1 << 10))
     r = random.Random(2)
     line = " ".join(f"c{i}" for i in range(40))
     docs = [(i, " ".join(r.choice("abcdefgh") + r.choice("xy") for _ in range(r.randint(0, 60))) + (("\n" + line) if i % 3 else "") + (" " + line if i % 7 == 0 else "")) for i in range(300)]
     docs += [(900 + k, docs[k][1]) for k in range(40)] + [(1000, "w " * 2000), (1001, "w " * 1500 + line)]
-    words = {i: t.encode().split() for i, t in docs}
-    first: dict = {}
-    for i in sorted(words):
-        for k in range(len(words[i]) - 12):
-            first.setdefault(tuple(words[i][k : k + 13]), i)
-    got = {x["doc_id"]: x for x in rows(substring.digests(text_rows(spark, docs)))}
-    for i, w in words.items():
-        gone = [False] * len(w)
-        for k in range(len(w) - 12):
-            if first[tuple(w[k : k + 13])] < i:
-                gone[k : k + 13] = [True] * 13
-        kept = [x for x, g in zip(w, gone) if not g]
-        assert (got[i]["n_words"], got[i]["n_removed"]) == (len(w), len(w) - len(kept))
-        assert got[i]["kept_sha256"] == hashlib.sha256(b" ".join(kept)).hexdigest()
+    got = substring.digests(text_rows(spark, docs)).collect()
+    assert sorted(((x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in got), key=str) == brute_windows(docs)
 
 
 def test_substring_divides_a_hot_minimiser(spark):

@@ -13,12 +13,15 @@ divides any bucket of different windows. Equal windows still meet, as they have
 
 Before the shuffle a task combines equal strings of a chunk of documents: only the smallest document's go on, as
 any other document of the chunk is covered by it already. A passage in every document thus costs its bucket one
-string a chunk. Chunks and buckets are held as numpy arrays; strings travel compressed.
+string a chunk. Chunks and buckets are held as numpy arrays; strings travel compressed. There are as many parts of the
+buckets, and as many targets in which covers and texts meet, as the bytes of the texts ask for, besides some for each
+shuffle partition; Spark sorts them inside its partitions, so a task holds one part or target at a time, of bounded size
+(but for one window in so many chunks that its strings alone fill a part).
 
 Null texts have no words. Texts of any length are read whole. Rows without id keep all their words and lend none.
-Rows that repeat an id count as one document: windows repeated among them are not removed, and words are removed
-at the same places in each (repeated rows stay equal). An empty table gives an empty table; other columns are
-ignored.
+Rows that repeat an id are judged each by its own words: a window counts as repeated only if a smaller id has it, so
+rows of one id take nothing from one another, and repeated rows stay equal. An empty table gives an empty table; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +42,8 @@ from .common import map_rows, whole_text
 WINDOW, MER = 13, 3
 CHUNK, PIECE, LONGEST = 6 << 20, 1 << 20, 256  # bytes of a chunk, bytes hashed at a time, windows of a string
 SLOTS, SLACK = 1 << 16, 8  # slots that minimisers are counted in, at least; a task leaves out slots under 1/SLACK of a part
-PARTS = 2  # parts of the buckets for each shuffle partition; targets are as many as shuffle partitions
+PARTS = 2  # parts of the buckets for each shuffle partition, at least; targets are as many as shuffle partitions, at least
+PART_BYTES, TARGET_BYTES = 32 << 20, 64 << 20  # of the texts, for each part and each target, at most on average
 BASE = 0x9E3779B97F4A7C15 | 1
 U = np.uint64
 
@@ -115,48 +119,65 @@ def super_kmers(w: Words, window: int = WINDOW, mer: int = MER, hot: np.ndarray
     return at[first], at[ends - 1] + window - 1, mine[first]
 
 
-def _intervals(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, bytes]]:
-    """Merged [start, end) word intervals of each document, packed."""
-    if not len(doc):
+Row = tuple[int, bytes]  # id and tag: the tag is empty unless ids repeat, else the digest of the text
+
+
+def _intervals(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, bytes]]:
+    """Merged [start, end) word intervals of each row, packed."""
+    if not len(row):
         return []
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order], start[order], end[order]
-    bounds = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True])
+    order = np.lexsort((start, row))
+    row, start, end = row[order], start[order], end[order]
+    bounds = np.flatnonzero(np.r_[True, row[1:] != row[:-1], True])
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         s, reach = start[a:b], np.maximum.accumulate(end[a:b])
         new = np.flatnonzero(np.r_[True, s[1:] > reach[:-1]])
         last = np.r_[new[1:], b - a] - 1
-        out.append((int(doc[a]), np.stack([s[new], reach[last]], 1).astype("<i4").tobytes()))
+        out.append((int(row[a]), np.stack([s[new], reach[last]], 1).astype("<i4").tobytes()))
     return out
 
 
-def _target(doc: int, parts: int) -> int:
-    """The part that a document's covers and text meet in; ``_apply`` has the same in SQL."""
-    return crc32(str(doc).encode()) % parts
+def _target(row: Row, targets: int) -> int:
+    """The target that a row's covers and text meet in; ``_apply`` has the same in SQL."""
+    return crc32(str(row[0]).encode() + row[1]) % targets
+
+
+def _pack_rows(rows: list[Row]) -> bytes:
+    """Ids, then tags of one size."""
+    return struct.pack("<II", len(rows), len(rows[0][1])) + np.array([d for d, _ in rows], "<i8").tobytes() + b"".join(t for _, t in rows)
+
 
+def _unpack_rows(raw: bytes, at: int) -> tuple[list[Row], int]:
+    """The rows and where they end."""
+    n, size = struct.unpack_from("<II", raw, at)
+    ids = np.frombuffer(raw, "<i8", n, at + 8).tolist()
+    at += 8 + 8 * n
+    return [(d, raw[at + k * size : at + (k + 1) * size]) for k, d in enumerate(ids)], at + n * size
 
-def _blocks(found: list[tuple[int, bytes]], parts: int):
-    """(target, block) of covered intervals: documents of one target share a compressed block."""
+
+def _blocks(found: list[tuple[Row, bytes]], targets: int):
+    """(target, block) of covered intervals: rows of one target share a compressed block."""
     import zstandard
 
-    by: dict[int, list[tuple[int, bytes]]] = {}
-    for doc, data in found:
-        by.setdefault(_target(doc, parts), []).append((doc, data))
+    by: dict[int, list[tuple[Row, bytes]]] = {}
+    for row, data in found:
+        by.setdefault(_target(row, targets), []).append((row, data))
     pack = zstandard.ZstdCompressor(level=1).compress
-    for target, rows in by.items():
-        sizes = np.array([len(x) for _, x in rows], "<i4")
-        yield target, pack(struct.pack("<I", len(rows)) + np.array([d for d, _ in rows], "<i8").tobytes() + sizes.tobytes() + b"".join(x for _, x in rows))
+    for target, part in by.items():
+        sizes = np.array([len(x) for _, x in part], "<i4")
+        yield target, pack(_pack_rows([r for r, _ in part]) + sizes.tobytes() + b"".join(x for _, x in part))
 
 
-def _read_block(block: bytes, into: dict[int, list[bytes]]) -> None:
+def _read_block(block: bytes, into: dict[Row, list[bytes]]) -> None:
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(block)
-    (n,) = struct.unpack_from("<I", raw)
-    at = 4 + 12 * n
-    for doc, size in zip(np.frombuffer(raw, "<i8", n, 4).tolist(), np.frombuffer(raw, "<i4", n, 4 + 8 * n).tolist()):
-        into.setdefault(doc, []).append(raw[at : at + size])
+    rows, at = _unpack_rows(raw, 0)
+    sizes = np.frombuffer(raw, "<i4", len(rows), at).tolist()
+    at += 4 * len(rows)
+    for row, size in zip(rows, sizes):
+        into.setdefault(row, []).append(raw[at : at + size])
         at += size
 
 
@@ -165,74 +186,90 @@ class _Chunk:
 
     def __init__(self, parts: int, targets: int, window: int, mer: int, hot: np.ndarray | None = None):
         self.parts, self.targets, self.window, self.mer, self.hot = parts, targets, window, mer, hot
-        self.docs: list[tuple[int, bytes]] = []
+        self.docs: list[tuple[int, bytes, bytes]] = []
         self.size = 0
+        self.tagged: set[Row] = set()
+
+    def add(self, doc: int, tag: bytes, text: bytes) -> None:
+        if tag:
+            if (doc, tag) in self.tagged:
+                return  # a repeated row says nothing new
+            self.tagged.add((doc, tag))
+        self.docs.append((doc, tag, text))
+        self.size += len(text)
 
     def flush(self):
         """Rows (part, kind, data): kind 0 a block of strings for a part of the buckets, kind 1 a block of covers."""
         import zstandard
 
         self.docs.sort()
+        ids = np.array([d for d, _, _ in self.docs], np.int64)
         seen: dict[bytes, int] = {}
         firsts: list[int] = []
-        keep_doc, keep_start, keep_key, keep_text = [], [], [], []
+        keep_row, keep_start, keep_key, keep_text = [], [], [], []
         cover = [], [], []
         at = 0
         while at < len(self.docs):
             size, upto = 0, at
-            while upto < len(self.docs) and (size == 0 or size + len(self.docs[upto][1]) <= PIECE):
-                size += len(self.docs[upto][1]) + 1
+            while upto < len(self.docs) and (size == 0 or size + len(self.docs[upto][2]) <= PIECE):
+                size += len(self.docs[upto][2]) + 1
                 upto += 1
-            ids = np.array([d for d, _ in self.docs[at:upto]], np.int64)
-            data = b"".join(t + b"\n" for _, t in self.docs[at:upto])
+            data = b"".join(t + b"\n" for _, _, t in self.docs[at:upto])
             w = Words(data)
             a, z, key = super_kmers(w, self.window, self.mer, self.hot)
-            doc = ids[w.line[a]]
+            row = w.line[a] + at
             line_start = np.r_[0, np.flatnonzero(np.diff(w.line)) + 1]
             place = a - line_start[w.line[a]]
             firsts.clear()
-            for i, (s, e, d) in enumerate(zip(w.starts[a].tolist(), w.ends[z].tolist(), doc.tolist())):
+            for i, (s, e, d) in enumerate(zip(w.starts[a].tolist(), w.ends[z].tolist(), ids[row].tolist())):
                 text = data[s:e]
                 owner = seen.setdefault(text, d)
                 if owner == d:
                     firsts.append(i)
                     keep_text.append(text)
                 else:
-                    cover[0].append(d)
+                    cover[0].append(int(row[i]))
                     cover[1].append(int(place[i]))
                     cover[2].append(int(place[i] + z[i] - a[i] + 1))
-            keep_doc.append(doc[firsts])
+            keep_row.append(row[firsts])
             keep_start.append(place[firsts])
             keep_key.append(key[firsts])
             at = upto
+        rows = [(d, t) for d, t, _ in self.docs]
         self.docs, self.size = [], 0
+        self.tagged.clear()
         seen.clear()
         if keep_text:
-            doc, start = np.concatenate(keep_doc), np.concatenate(keep_start).astype(np.int32)
+            row, start = np.concatenate(keep_row), np.concatenate(keep_start).astype("<i4")
             part = ((np.concatenate(keep_key) >> U(20)) % U(self.parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             bounds = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0, True])
             pack = zstandard.ZstdCompressor(level=1).compress
             for b, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 ix = order[b:e]
+                used, of = np.unique(row[ix], return_inverse=True)  # rows ascend, so do their numbers
                 text = b"\n".join([keep_text[i] for i in ix.tolist()]) + b"\n"
-                yield int(part[ix[0]]), 0, pack(struct.pack("<I", e - b) + doc[ix].tobytes() + start[ix].tobytes() + text)
-        for target, block in _blocks(_intervals(*(np.array(x, np.int64) for x in cover)), self.targets):
+                yield int(part[ix[0]]), 0, pack(_pack_rows([rows[k] for k in used.tolist()]) + struct.pack("<I", e - b) + np.diff(of, prepend=0).astype("<u4").tobytes() + start[ix].tobytes() + text)
+        found = [(rows[k], data) for k, data in _intervals(*(np.array(x, np.int64) for x in cover))]
+        for target, block in _blocks(found, self.targets):
             yield target, 1, block
 
 
-def _count(blobs: list[bytes], window: int):
+def _count(blobs: list[bytes], window: int) -> list[tuple[Row, bytes]]:
     """Covered intervals from the strings of one part of the buckets."""
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
-    docs, starts, texts = [], [], []
+    rows: list[Row] = []
+    numbers, starts, texts = [], [], []
     for blob in blobs:
         raw = unpack(blob)
-        (n,) = struct.unpack_from("<I", raw)
-        docs.append(np.frombuffer(raw, "<i8", n, 4).copy())
-        starts.append(np.frombuffer(raw, "<i4", n, 4 + 8 * n).copy())
-        texts.append(raw[4 + 12 * n :])
+        own, at = _unpack_rows(raw, 0)
+        (n,) = struct.unpack_from("<I", raw, at)
+        numbers.append(np.cumsum(np.frombuffer(raw, "<u4", n, at + 4), dtype=np.int64) + len(rows))
+        starts.append(np.frombuffer(raw, "<i4", n, at + 4 + 4 * n).copy())
+        texts.append(raw[at + 4 + 8 * n :])
+        rows += own
     blobs.clear()
     place = np.uint32 if sum(map(len, texts)) < 1 << 32 else np.int64
     hashes, owner, offset, begin, end = [], [], [], [], []
@@ -254,7 +291,8 @@ def _count(blobs: list[bytes], window: int):
         base += len(text)
     if not hashes:
         return []
-    doc, start = np.concatenate(docs), np.concatenate(starts)
+    number, start = np.concatenate(numbers), np.concatenate(starts)
+    ids = np.array([d for d, _ in rows], np.int64)
     h = np.concatenate(hashes)
     hashes.clear()
     order = np.argsort(h, kind="stable")
@@ -281,16 +319,25 @@ def _count(blobs: list[bytes], window: int):
         count = int(group[-1]) + 1
         for i, text in odd:
             group[i] = found.setdefault((int(group[i]), text), count + len(found))
-    mine = doc[owner[twice]]
+    mine = ids[number[owner[twice]]]
     least = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, group, mine)
     hit = twice[mine > least[group]]
     at = start[owner[hit]].astype(np.int64) + offset[hit]
-    return _intervals(doc[owner[hit]], at, at + window)
+    return [(rows[k], data) for k, data in _intervals(number[owner[hit]], at, at + window)]
+
 
+class Plan:
+    """How a table is divided: parts of the buckets, targets, Spark's partitions, and the tag that tells rows apart."""
 
-def _targets(docs: DataFrame) -> int:
-    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    def __init__(self, docs: DataFrame, part_bytes: int = PART_BYTES, target_bytes: int = TARGET_BYTES):
+        by_id = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b"))
+        row = by_id.agg(F.max("n").alias("n"), F.sum("b").alias("b")).first()
+        size = row.b or 0
+        self.tasks = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        self.parts, self.targets = max(PARTS * self.tasks, -(-size // part_bytes)), max(self.tasks, -(-size // target_bytes))
+        self.repeated = (row.n or 0) > 1
+        self.tag = F.md5(whole_text()) if self.repeated else F.lit("")
 
 
 def hot_slots(docs: DataFrame, parts: int, window: int = WINDOW, mer: int = MER) -> np.ndarray:
@@ -303,11 +350,11 @@ def hot_slots(docs: DataFrame, parts: int, window: int = WINDOW, mer: int = MER)
     slots = max(SLOTS, 1 << (SLACK * parts - 1).bit_length())
 
     def tally(batches):
-        counts = np.zeros(slots, np.int64)
+        counts = np.zeros(slots, np.int32 if slots > SLOTS else np.int64)
 
         def add(texts: list[bytes]) -> None:
             a, z, key = super_kmers(Words(b"".join(texts)), window, mer)
-            np.add.at(counts, _slot(key, slots), z - a - (window - 2))
+            np.add.at(counts, _slot(key, slots), (z - a - (window - 2)).astype(counts.dtype))
 
         texts, size = [], 0
         for batch in batches:
@@ -321,8 +368,8 @@ def hot_slots(docs: DataFrame, parts: int, window: int = WINDOW, mer: int = MER)
                         texts, size = [], 0
         if texts:
             add(texts)
-        total = int(counts.sum())
-        found = np.flatnonzero(counts * (SLACK * parts) >= max(1, total))
+        total = int(counts.sum(dtype=np.int64))
+        found = np.flatnonzero(counts >= max(1, total) / (SLACK * parts))
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[found, -1].astype(np.int32)), pa.array(np.r_[counts[found], total])], names=["slot", "n"])
 
     sums = docs.filter(F.col("doc_id").isNotNull()).select(whole_text().alias("text")).mapInArrow(tally, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
@@ -333,11 +380,10 @@ def hot_slots(docs: DataFrame, parts: int, window: int = WINDOW, mer: int = MER)
     return hot
 
 
-def covers(docs: DataFrame, window: int = WINDOW, mer: int = MER) -> DataFrame:
-    """(target, data): blocks of covered word intervals of the documents of a target."""
+def covers(docs: DataFrame, plan: Plan, window: int = WINDOW, mer: int = MER) -> DataFrame:
+    """(target, data): blocks of covered word intervals of the rows of a target."""
     ship(docs.sparkSession)
-    targets = _targets(docs)
-    parts = PARTS * targets
+    parts, targets = plan.parts, plan.targets
     hot = hot_slots(docs, parts, window, mer)
     schema = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
     out = pa.schema([("target", pa.int32()), ("data", pa.binary())])
@@ -350,29 +396,33 @@ def covers(docs: DataFrame, window: int = WINDOW, mer: int = MER) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(row, schema)], schema=schema)
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            for doc, tag, text in zip(batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), batch.column("text")):
                 words = text.as_py().encode().split()
                 if len(words) >= window:
-                    chunk.docs.append((doc, b" ".join(words)))
-                    chunk.size += len(chunk.docs[-1][1])
+                    chunk.add(doc, tag.encode(), b" ".join(words))
                     if chunk.size >= CHUNK:
                         yield from rows()
         yield from rows()
 
     def count(batches):
-        blobs: dict[int, list[bytes]] = {}
+        one = lambda target, data: pa.RecordBatch.from_arrays([pa.array([target], pa.int32()), pa.array([data], pa.binary())], schema=out)
+        blobs: list[bytes] = []
+        now = None
         for batch in batches:
             for part, kind, data in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "data"))):
                 if kind:
-                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([data], pa.binary())], schema=out)
-                else:
-                    blobs.setdefault(part, []).append(data)
-        for part in sorted(blobs):
-            for target, block in _blocks(_count(blobs.pop(part), window), targets):
-                yield pa.RecordBatch.from_arrays([pa.array([target], pa.int32()), pa.array([block], pa.binary())], schema=out)
+                    yield one(part, data)
+                    continue
+                if part != now:  # parts come one after another
+                    for found in _blocks(_count(blobs, window), targets):
+                        yield one(*found)
+                    blobs, now = [], part
+                blobs.append(data)
+        for found in _blocks(_count(blobs, window), targets):
+            yield one(*found)
 
-    packed = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", whole_text().alias("text")).mapInArrow(gather, "part int, kind int, data binary")
-    return packed.repartitionById(parts, F.col("part")).mapInArrow(count, "target int, data binary")
+    packed = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", plan.tag.alias("tag"), whole_text().alias("text")).mapInArrow(gather, "part int, kind int, data binary")
+    return packed.repartitionById(plan.tasks * PARTS, F.col("part") % (plan.tasks * PARTS)).sortWithinPartitions("part").mapInArrow(count, "target int, data binary")
 
 
 def remove(docs: DataFrame, window: int = WINDOW, mer: int = MER) -> DataFrame:
@@ -386,38 +436,53 @@ def digests(docs: DataFrame, window: int = WINDOW, mer: int = MER) -> DataFrame:
 
 
 def _apply(docs: DataFrame, window: int, mer: int, column: str, of) -> DataFrame:
-    """Covers and texts meet in the part of the document's target, covers first."""
-    parts = _targets(docs)
-    found = covers(docs, window, mer)
+    """Covers and texts meet in their target, covers first."""
+    plan = Plan(docs)
+    found = covers(docs, plan, window, mer)
     text = whole_text()
+    rows = docs.select("doc_id", plan.tag.alias("tag"), text.alias("text"))
+    # where ids repeat, repeated rows travel once, however many they are
+    rows = rows.groupBy("doc_id", "tag", "text").agg(F.count("*").alias("copies")) if plan.repeated else rows.withColumn("copies", F.lit(1).cast("long"))
     # _target in SQL; rows without id go anywhere, by their text
-    target = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), text).cast("binary")), F.lit(parts)).cast("int")
-    both = docs.select(target.alias("target"), F.lit(1).alias("kind"), "doc_id", text.alias("text"), F.lit(None).cast("binary").alias("data")).unionByName(
-        found.select("target", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "data")
+    target = F.pmod(F.crc32(F.coalesce(F.concat(F.col("doc_id").cast("string"), "tag"), F.col("text")).cast("binary")), F.lit(plan.targets)).cast("int")
+    none = lambda kind: F.lit(None).cast(kind)
+    both = rows.select(target.alias("target"), F.lit(1).alias("kind"), "doc_id", "tag", "text", "copies", none("binary").alias("data")).unionByName(
+        found.select("target", F.lit(0).alias("kind"), none("long").alias("doc_id"), none("string").alias("tag"), none("string").alias("text"), none("long").alias("copies"), "data")
     )
-    met = both.repartitionById(parts, F.col("target")).sortWithinPartitions("kind")
+    met = both.repartitionById(plan.tasks, F.col("target") % plan.tasks).sortWithinPartitions("target", "kind")
+    name = column.split()[0]
 
     def make():
-        known: dict[int, list[bytes]] = {}
+        known: dict[Row, list[bytes]] = {}
+        now = None
 
         def step(b):
-            out: dict[str, list] = {"doc_id": [], "n_words": [], "n_removed": [], column.split()[0]: []}
-            for kind, doc, text, data in zip(b["kind"], b["doc_id"], b["text"], b["data"]):
+            nonlocal now
+            out: dict[str, list] = {"doc_id": [], "n_words": [], "n_removed": [], name: [], "copies": []}
+            for target, kind, doc, tag, text, copies, data in zip(b["target"], b["kind"], b["doc_id"], b["tag"], b["text"], b["copies"], b["data"]):
+                if target != now:
+                    known.clear()
+                    now = target
                 if not kind:
                     _read_block(data, known)
                     continue
                 words = text.encode().split()
                 kept = words
-                if doc is not None and doc in known:
+                mine = known.get((doc, tag.encode())) if doc is not None else None
+                if mine:
                     drop = np.zeros(len(words) + 1, np.int64)
-                    pair = np.minimum(np.frombuffer(b"".join(known[doc]), "<i4").reshape(-1, 2), len(words))
+                    pair = np.minimum(np.frombuffer(b"".join(mine), "<i4").reshape(-1, 2), len(words))
                     np.add.at(drop, pair[:, 0], 1)
                     np.add.at(drop, pair[:, 1], -1)
                     kept = [w for w, g in zip(words, (np.cumsum(drop[:-1]) > 0).tolist()) if not g]
-                for name, v in zip(out, (doc, len(words), len(words) - len(kept), of(b" ".join(kept)))):
-                    out[name].append(v)
+                for k, v in zip(out, (doc, len(words), len(words) - len(kept), of(b" ".join(kept)), copies)):
+                    out[k].append(v)
             return out
 
         return step
 
-    return map_rows(met, ["kind", "doc_id", "text", "data"], f"doc_id long, n_words long, n_removed long, {column}", make)
+    got = map_rows(met, ["target", "kind", "doc_id", "tag", "text", "copies", "data"], f"doc_id long, n_words long, n_removed long, {column}, copies long", make)
+    if plan.repeated:  # repeated rows come back, thousands at a time
+        dealt = got.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(4096).cast("long")))).repartition(plan.tasks, "doc_id", "from")
+        got = dealt.withColumn("one", F.explode(F.sequence("from", F.least(F.col("copies") - 1, F.col("from") + 4095))))
+    return got.select("doc_id", "n_words", "n_removed", name)
