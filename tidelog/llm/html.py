@@ -10,8 +10,10 @@ words; no page of the table takes part. The fit does not depend on the input and
 Null html counts as empty; pages without main text give an empty text and n_chars 0. Long pages are labelled whole.
 Markup that is broken or not closed is read as it stands: text belongs to the block that is open. Left out is only what
 HTML reads as raw text or never shows (scripts, styles, templates, sources of formulas, titles of drawings), and only up
-to an end tag that is there. Formulas are part of their sentence; text of drawings, objects, canvases and choices is
-labelled as blocks of its own. Repeated rows give repeated results; an empty table gives an empty table; other columns
+to an end tag that is there. A quoted value hides a > only behind an = and up to a quote that is there; once the quotes of
+a tag run to the end of the page, they hide no > in the rest of it. Formulas are part of their sentence; text of drawings,
+objects, canvases and choices is labelled as blocks of its own. Reading takes time and memory in proportion to the page,
+however deep or broken its markup. Repeated rows give repeated results; an empty table gives an empty table; other columns
 are ignored.
 """
 
@@ -30,6 +32,7 @@ from .common import Memo, map_rows
 
 PATHS, WORDS, SIZES, HIDDEN, SEED = 256, 64, 5, 16, 5
 DIM = PATHS + WORDS + SIZES
+TOGETHER = 1 << 20  # characters of pages that are labelled together
 
 # Elements that HTML reads as raw text or never shows, elements inside a block, those that end a block only
 # where they have text, and elements without end tag.
@@ -38,32 +41,60 @@ MATH = set("math maction menclose merror mfenced mfrac mi mlabeledtr mmultiscrip
 DRAWN = set("object canvas svg animate animatemotion animatetransform circle clippath defs ellipse filter foreignobject g image line lineargradient marker mask mpath path pattern polygon polyline radialgradient rect set stop switch symbol text textpath tspan use view".split())
 INLINE = MATH | set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>")
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+BEGUN = re.compile(r"</?[a-zA-Z]")
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in [*RAW, "title"]}
 
 
-@lru_cache(50_000)
-def _names(tag: str, attributes: str) -> tuple[str, ...]:
+def _names(element: str) -> tuple[str, ...]:
+    """Of a tag and its attributes, with a zero byte between them: the tag and the words of class, id and role."""
+    tag, _, attributes = element.partition("\0")
     found = [tag]
     if "=" in attributes:
-        for kind, value in ATTRIBUTE.findall(attributes):
-            found += [w for w in re.split(r"[^a-z0-9]+", value.strip("\"'").lower()) if w][:20]
+        for _, value in ATTRIBUTE.findall(attributes):
+            found += [w for w in re.split(r"[^a-z0-9]+", value.strip("\"'").lower()) if w]
     return tuple(found)
 
 
-def blocks(page: str) -> list[tuple[str, tuple[tuple[str, ...], ...], int]]:
-    """(text, path, characters inside links) of each leaf block with text, in page order."""
+_known_names = Memo(_names, 32 << 20)
+
+
+def _marks(names: tuple[str, ...], seed: int = 0) -> int:
+    return sum(1 << k for k in {crc32(n.encode("utf-8", "surrogatepass"), seed) % PATHS for n in names})
+
+
+class Node:
+    """An open element, which knows its parent, so that a path costs no more than its last element."""
+
+    __slots__ = ("tag", "names", "parent", "above", "vector")
+
+    def __init__(self, tag: str, names: tuple[str, ...], parent: "Node | None"):
+        self.tag, self.names, self.parent = tag, names, parent
+        self.above = _marks(names) | (parent.above if parent else 0)  # hashed names of all elements of the path
+        self.vector = self.above | _marks(names, 1) | (_marks(parent.names, 2) if parent else 0)  # the nearest two again
+
+    def path(self) -> list[tuple[str, ...]]:
+        """Names of the elements from the outermost on."""
+        out, node = [], self
+        while node.parent:
+            out.append(node.names)
+            node = node.parent
+        return out[::-1]
+
+
+def blocks(page: str) -> list[tuple[str, Node, int]]:
+    """(text, innermost element, characters inside links) of each leaf block with text, in page order."""
     out: list = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    top = root = Node("", (), None)
+    depth: dict[str, int] = {}  # open elements by tag
     parts: list[str] = []
-    at = link_from = linked = 0
+    at = linked = 0
     in_link = False
-    held = None  # path and innermost element of the open block, once a drawn element began or ended in it
+    held = None  # innermost element of the open block, once a drawn element began or ended in it
     missing = set()  # raw elements without an end tag in the rest of the page
-
-    def here():
-        return tuple(n for _, n in stack), stack[-1] if stack else None
+    tag_at = TAG
 
     def flush():
         nonlocal linked, in_link, held
@@ -71,14 +102,14 @@ def blocks(page: str) -> list[tuple[str, tuple[tuple[str, ...], ...], int]]:
             raw = "".join(parts)
             text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
             if text:
-                out.append((text, held[0] if held else here()[0], min(linked, len(text))))
+                out.append((text, held or top, min(linked, len(text))))
             parts.clear()
         linked, in_link, held = 0, False, None
 
     def add(text):
         nonlocal linked, in_link, held
         if held and text.strip():
-            if held[1] is not here()[1]:
+            if held is not top:
                 link = in_link
                 flush()
                 in_link = link
@@ -87,25 +118,58 @@ def blocks(page: str) -> list[tuple[str, tuple[tuple[str, ...], ...], int]]:
         if in_link:
             linked += len(text)
 
-    end = len(page)
+    def close():
+        nonlocal top
+        depth[top.tag] -= 1
+        top = top.parent
+
+    end, last = len(page), page.rfind(">")
     while at < end:
-        m = TAG.search(page, at)
-        if m is None:
+        start = page.find("<", at)
+        if start < 0:
             add(page[at:])
             break
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                add(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
+        if page.startswith("<!--", start):
+            if start > at:
+                add(page[at:start])
+            at = page.find("-->", start + 4) + 3
+            if at < 3:
+                break
+            continue
+        if page.startswith("<![CDATA[", start):
+            if start > at:
+                add(page[at:start])
+            to = page.find("]]>", start + 9)
+            add(page[start + 9 : to if to >= 0 else end].replace("&", "&amp;"))
+            at = to + 3 if to >= 0 else end
+            continue
+        if start > last:  # no tag ends any more
+            to = page.find("<!", start + 1)
+            add(page[at : to if to >= 0 else end])
+            at = to if to >= 0 else end
             continue
+        if page[start + 1 : start + 2] in ("!", "?"):
+            if start > at:
+                add(page[at:start])
+            at = page.index(">", start) + 1
+            continue
+        m = tag_at.match(page, start)
+        if m is None:
+            if not BEGUN.match(page, start):  # no tag
+                add(page[at : start + 1])
+                at = start + 1
+                continue
+            tag_at = PLAIN_TAG
+            m = tag_at.match(page, start)
+        if start > at:
+            add(page[at:start])
+        at = m.end()
         tag = m[2].lower()
-        if tag in RAW_END and (tag != "title" or any(t == "svg" for t, _ in stack)):
+        if tag in RAW_END and (tag != "title" or depth.get("svg")):
             if not m[1] and not m[3].endswith("/") and tag not in missing:
-                close = RAW_END[tag].search(page, at)
-                if close:
-                    at = close.end()
+                shut = RAW_END[tag].search(page, at)
+                if shut:
+                    at = shut.end()
                 else:
                     missing.add(tag)
             continue
@@ -118,47 +182,46 @@ def blocks(page: str) -> list[tuple[str, tuple[tuple[str, ...], ...], int]]:
         if tag not in DRAWN:
             flush()
         elif parts and not held:
-            held = here()
+            held = top
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if depth.get(tag):
+                while top.tag != tag:
+                    close()
+                close()
         elif tag not in VOID and not (tag in DRAWN and m[3].endswith("/")):
-            if stack and stack[-1][0] == tag and tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
-                stack.pop()
-            stack.append((tag, _names(tag, m[3])))
-            if len(stack) > 200:  # absurdly deep markup: the outermost elements tell nothing more
-                del stack[1:100]
+            if top.tag == tag and tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
+                close()
+            top = Node(tag, _known_names[f"{tag}\0{m[3]}"], top)
+            depth[tag] = depth.get(tag, 0) + 1
     flush()
     return out
 
 
-def path_vector(path: tuple[tuple[str, ...], ...]) -> np.ndarray:
-    x = np.zeros(PATHS, np.float32)
-    for depth, names in enumerate(reversed(path)):
-        for name in names:
-            x[crc32(name.encode()) % PATHS] = 1
-            if depth < 2:
-                x[crc32(name.encode(), depth + 1) % PATHS] = 1
-    return x
-
-
 def word_bucket(word: str) -> int:
     return crc32(word.lower().strip(".,:;!?()").encode("utf-8", "surrogatepass")) % WORDS
 
 
-def describe(found: list, memo: Memo, paths: Memo) -> np.ndarray:
+def describe(found: list, memo: Memo, of: int | None = None, at: int = 0) -> np.ndarray:
+    """Vectors of blocks; of a page of ``of`` blocks, if these are only those from ``at`` on."""
+    n = of or len(found)
     x = np.zeros((len(found), DIM), np.float32)
-    for k, (text, path, linked) in enumerate(found):
+    if found:
+        marks = np.frombuffer(b"".join(node.vector.to_bytes(PATHS // 8, "little") for _, node, _ in found), np.uint8)
+        x[:, :PATHS] = np.unpackbits(marks.reshape(len(found), -1), axis=1, bitorder="little")
+    for k, (text, _, linked) in enumerate(found):
         words = text.split(" ")
         row = x[k]
-        row[:PATHS] = paths[path]
         row[PATHS : PATHS + WORDS] = np.bincount(np.fromiter(map(memo.__getitem__, words), np.int64, len(words)), minlength=WORDS) / len(words) ** 0.5
-        row[-SIZES:] = np.log1p(len(words)) / 4, linked / len(text), np.log1p(len(found)) / 4, k / len(found), text[-1] in ".!?"
+        row[-SIZES:] = np.log1p(len(words)) / 4, linked / len(text), np.log1p(n) / 4, (at + k) / n, text[-1] in ".!?"
     return x
 
 
+def project(p: dict, found: list, memo: Memo) -> np.ndarray:
+    """What the blocks of a page bring to the gates of both directions, a stretch of blocks at a time."""
+    both = np.concatenate([p["wf"], p["wb"]], 1)
+    return np.concatenate([describe(found[at : at + 4096], memo, len(found), at) @ both for at in range(0, len(found), 4096)] or [np.empty((0, 8 * HIDDEN), np.float32)])
+
+
 # --- the network ---------------------------------------------------------------------------------------------
 
 
@@ -173,8 +236,8 @@ def _start(random: np.random.Generator) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
-def _lstm(z: np.ndarray, u: np.ndarray, mask: np.ndarray):
-    """z: steps x batch x 4 hidden inputs to the gates. Hidden states and what the backward pass needs."""
+def _lstm(z: np.ndarray, u: np.ndarray, mask: np.ndarray, learn: bool = True):
+    """z: steps x batch x 4 hidden inputs to the gates. Hidden states and, to ``learn``, what the backward pass needs."""
     steps, batch, _ = z.shape
     h = c = np.zeros((batch, HIDDEN), np.float32)
     hs, saved = np.empty((steps, batch, HIDDEN), np.float32), []
@@ -185,7 +248,8 @@ def _lstm(z: np.ndarray, u: np.ndarray, mask: np.ndarray):
         c2 = f * c + i * new
         th = np.tanh(c2)
         m = mask[t][:, None]
-        saved.append((h, c, i, f, o, new, th))
+        if learn:
+            saved.append((h, c, i, f, o, new, th))
         h, c = np.where(m, o * th, h), np.where(m, c2, c)
         hs[t] = h
     return hs, saved
@@ -225,7 +289,8 @@ def _padded(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def probabilities(p: dict, seqs: list[np.ndarray]) -> list[np.ndarray]:
-    """Of main text, for each block of each page. Pages of like length share a batch of bounded size."""
+    """Of main text, for each block of each page, from what ``project`` gives. Pages of like length share a batch of
+    bounded size."""
     out: list = [np.empty(0, np.float32)] * len(seqs)
     order = sorted((k for k in range(len(seqs)) if len(seqs[k])), key=lambda k: len(seqs[k]))
     at = 0
@@ -235,8 +300,8 @@ def probabilities(p: dict, seqs: list[np.ndarray]) -> list[np.ndarray]:
             upto += 1
         part = order[at:upto]
         x, lengths, mask = _padded([seqs[k] for k in part])
-        forward, _ = _lstm(x @ p["wf"] + p["bf"], p["uf"], mask)
-        backward, _ = _lstm(_flip(x @ p["wb"], lengths) + p["bb"], p["ub"], mask)
+        forward, _ = _lstm(x[:, :, : 4 * HIDDEN] + p["bf"], p["uf"], mask, False)
+        backward, _ = _lstm(_flip(x[:, :, 4 * HIDDEN :], lengths) + p["bb"], p["ub"], mask, False)
         y = _sigmoid(np.concatenate([forward, _flip(backward, lengths)], 2) @ p["out"] + p["bias"])[:, :, 0]
         for j, k in enumerate(part):
             out[k] = y[: lengths[j], j]
@@ -246,12 +311,12 @@ def probabilities(p: dict, seqs: list[np.ndarray]) -> list[np.ndarray]:
 
 def train(pages: int = 500, epochs: int = 8, seed: int = SEED) -> dict[str, np.ndarray]:
     random = np.random.default_rng(seed)
-    memo, paths = Memo(word_bucket), Memo(path_vector)
+    memo = Memo(word_bucket)
     made = []
     for _ in range(pages):
         page, main = write_page(random)
         found = blocks(page)
-        made.append((describe(found, memo, paths), np.array([text in main for text, _, _ in found], np.float32)))
+        made.append((describe(found, memo), np.array([text in main for text, _, _ in found], np.float32)))
     p = _start(random)
     mean, square, step = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2)), None, 0
     mean, square = mean
@@ -283,6 +348,12 @@ def train(pages: int = 500, epochs: int = 8, seed: int = SEED) -> dict[str, np.n
     return p
 
 
+@lru_cache(1)
+def trained() -> dict[str, np.ndarray]:
+    """The same network for all queries of a driver, as its training depends on nothing."""
+    return train()
+
+
 # --- the grammar that writes training pages --------------------------------------------------------------------
 
 # Names and words of page parts.
@@ -406,26 +477,33 @@ def write_page(r: np.random.Generator) -> tuple[str, set[str]]:
 
 
 def main_text(p: dict, pages: list[str]) -> list[str]:
-    memo, paths = _memos()
-    found = [blocks(page) for page in pages]
-    chosen = probabilities(p, [describe(b, memo, paths) for b in found])
-    return ["\n".join(text for (text, _, _), y in zip(b, keep) if y >= 0.5) for b, keep in zip(found, chosen)]
+    memo = _memo()
+    out: list[str] = []
+    at = 0
+    while at < len(pages):  # as many pages together as have so many characters
+        upto, size = at, 0
+        while upto < len(pages) and (upto == at or size + len(pages[upto]) <= TOGETHER):
+            size += len(pages[upto])
+            upto += 1
+        found = [blocks(page) for page in pages[at:upto]]
+        chosen = probabilities(p, [project(p, b, memo) for b in found])
+        out += ["\n".join(text for (text, _, _), y in zip(b, keep) if y >= 0.5) for b, keep in zip(found, chosen)]
+        at = upto
+    return out
 
 
 @lru_cache(1)
-def _memos() -> tuple[Memo, Memo]:
-    return Memo(word_bucket, 200_000), Memo(path_vector, 20_000)
+def _memo() -> Memo:
+    return Memo(word_bucket, 32 << 20)
 
 
-def extract(pages: DataFrame, model: dict | None = None, batch: int = 200) -> DataFrame:
+def extract(pages: DataFrame, model: dict | None = None) -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
-    p = model or train()
+    p = model or trained()
 
     def make():
         def step(b):
-            texts = []
-            for at in range(0, len(b["html"]), batch):
-                texts += main_text(p, b["html"][at : at + batch])
+            texts = main_text(p, b["html"])
             return {"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]}
 
         return step
