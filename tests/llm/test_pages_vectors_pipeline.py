@@ -254,6 +254,24 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     assert max(fill.values()) <= 1024
 
 
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    from .conftest import ODD, text_rows
+
+    spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = ODD + [(20, "x y z and more words here"), (21, "x y z and more words here"), (8, "token = abcdef123456"), (None, None)]
+    text_rows(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # one class only: nothing is rejected; of equal texts the largest id stays, of empty ones the row of the id that has one;
+    # texts without words are one group of near copies
+    assert {r.doc_id for r in got} == {2, 3, 5, 7, 8, 21}
+    empty = tmp_path / "empty"
+    text_rows(spark, []).write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{empty}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).collect() == []
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline
 

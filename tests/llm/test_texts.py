@@ -13,6 +13,8 @@ from tidelog.llm import bpe, exact, packing, quality, secret_scan, simhash, subs
 
 from .conftest import ODD, text_rows
 
+VOCABULARY = P.path("byte_bpe_50k.tiktoken")
+
 
 def rows(df, key="doc_id"):
     return sorted((r.asDict() for r in df.collect()), key=lambda r: (r[key] is None, r[key] or 0, str(r)))
@@ -70,9 +72,10 @@ def test_guess_costs():
     assert "xK9" not in secret_scan.redact_text("pwd = xK9!vQ2#mLr7@Tz.")
 
 
-def brute_cost(value):
+def brute_cost(value, words=None):
     """The cheapest segmentation, by trying every segment at every place."""
-    S, low, n = secret_scan, value.lower(), len(value)
+    S, low, n = secret_scan, "".join(c.lower() if len(c.lower()) == 1 else "i" for c in value), len(value)
+    words = words or S.dictionary()
     plain = low.translate(S.LEET)
     best = [0.0]
     for i in range(1, n + 1):
@@ -86,8 +89,8 @@ def brute_cost(value):
             if S.DATE.fullmatch(value[a:i]):
                 costs.append(start + np.log10(119 if size == 4 else 365 * 119))
             for form, extra in ((part, 0.0), (plain[a:i], np.log10(4))):
-                if form in S.RANK:
-                    costs.append(start + np.log10(S.RANK[form] + 1) + extra + (0.0 if value[a:i] == part else np.log10(3)))
+                if form in words.rank:
+                    costs.append(start + np.log10(words.rank[form] + 1) + extra + (0.0 if value[a:i] == part else np.log10(3)))
         best.append(min(costs))
     return best[n]
 
@@ -96,8 +99,44 @@ def test_guess_cost_is_the_least():
     r = random.Random(3)
     parts = ["root", "yuiop", "Test", "aaaa", "1999", "20240131", "31-12-2001", "qwe", "t", "0", "rr", "12345", "x!", "p@ss", "zzz", "oooo", "19", "nopq"]
     values = ["rootyuiop", "passsss", "120012001", "3120240131"] + ["".join(r.choices(parts, k=r.randint(1, 6))) for _ in range(300)]
+    values += ["passwordddd", "2019991231", "İstanbul\u0130x", "Straße", "ÄÖ99!!"]
+    large = secret_scan.dictionary(VOCABULARY)
+    assert len(large.rank) > 20_000 and large.rank["password"] == 1 and "house" in large.rank
     for value in values:
-        assert abs(secret_scan.guess_cost(value) - brute_cost(value)) < 1e-9, value
+        for words in (None, large):
+            assert abs(secret_scan.guess_cost(value, words) - brute_cost(value, words)) < 1e-9, value
+    assert secret_scan.guess_cost("passwordddd") < 3.1 and secret_scan.guess_cost("2019991231") < secret_scan.MIN_COST
+
+
+def brute_scan(text):
+    """Spans as the contract states them, with one pattern for each kind, and the method's by trying all segmentations."""
+    S, words = secret_scan, secret_scan.dictionary(VOCABULARY)
+    fold = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in "password|passwd|secret|token|api_?key")
+    base = [(m.start(), "assign", m.end()) for m in re.finditer(rf"({fold})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text) if len(m[2]) >= 6]
+    base += [(m.start(), "access", m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 20]
+    base += [(m.start(), "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", text) if m.end() - m.start() >= 24]
+    base.sort(key=lambda x: (x[0], S.KINDS.index(x[1])))
+    covered = {k for a, _, b in base for k in range(a, b)}
+    added = []
+    for m in S.CONTEXT.finditer(text):
+        value = m[1].rstrip(".!?:")
+        span = range(m.start(1), m.start(1) + len(value))
+        if brute_cost(value, words) >= S.MIN_COST and not set(span) <= covered:
+            added.append((span.start, "guess", span.stop))
+    say = lambda spans: ",".join(f"{k}:{a}:{b}" for a, k, b in spans)
+    counts = [sum(k == kind for _, k, _ in base) for kind in S.KINDS[:3]]
+    return (*counts, hashlib.sha256(say(base).encode()).hexdigest(), say(sorted(base + added, key=lambda x: (x[0], S.KINDS.index(x[1])))))
+
+
+def test_scan_against_brute_force(spark, sf_dir):
+    r = random.Random(6)
+    parts = ["password", "api_key=", "API-KEY is ", "token: ", "AKIA" + "Q7" * 9, "0123456789abcdef" * 2, "deadbeef", " ", "\n", ": ", '"', "xK9!vQ2#mLr7@Tz", "Summer2024", "é", "bearer ", "secret = ", "qwertyuiop", "=", "a.b/c+d_e"]
+    docs = [(i, "".join(r.choices(parts, k=r.randint(0, 14)))) for i in range(400)]
+    docs += [(1000 + i, x.text) for i, x in enumerate(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect())]
+    docs += [(5000, None), (5001, ""), (5001, "token=abcdef")]
+    got = secret_scan.scan(text_rows(spark, docs), VOCABULARY).collect()
+    assert sorted((x.doc_id, x.n_assign, x.n_access, x.n_hex, x.base_sha256, x.spans) for x in got) == sorted((i, *brute_scan(t or "")) for i, t in docs)
+    assert any("guess" in x.spans for x in got)
 
 
 def test_guess_spans_reach_past_base_spans():
@@ -164,6 +203,33 @@ def test_substring_of_rows_with_one_id(spark, monkeypatch):
     assert sorted(((x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in got), key=str) == brute_windows(docs)
 
 
+def test_digests_equal_the_library(spark, sf_dir):
+    import tiktoken
+
+    ranks = bpe.vocabulary(VOCABULARY).ranks
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs = [(x.doc_id, x.text) for x in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()] + ODD
+    got = bpe.digests(text_rows(spark, docs), VOCABULARY, P.PATTERN).collect()
+    want = []
+    for i, t in docs:
+        ids = e.encode_ordinary(t or "")
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert sorted(map(str, want)) == sorted(str((x.doc_id, x.n_tokens, x.ids_sha256, x.decoded_sha256)) for x in got)
+
+
+def test_edits_encode_no_more_than_near_the_edit():
+    v = bpe.vocabulary(VOCABULARY)
+    r = random.Random(2)
+    data = "".join(r.choice(["the ", "ing", "é", " x", "12", "don't", "中", "z" * 9]) for _ in range(20_000)).encode()
+    for _ in range(60):
+        p = bpe.Prefixes(v, data)
+        a = r.randrange(len(data))
+        b = min(len(data), a + r.randint(0, 5))
+        new = r.choice([b"", b"new", b" " * 200, b"q"])
+        assert p.replace(a, b, new) <= len(new) + 20 * v.longest
+        assert p.data == data[:a] + new + data[b:] and p.last == bpe.Prefixes(v, p.data).last
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_substring_against_brute_force(spark, hot, monkeypatch):
     if hot:  # every minimiser divided by the hash of the window, and many small parts and targets
@@ -230,6 +296,43 @@ def test_simhash_against_brute_force(spark):
     assert {x["doc_id"]: (x["fingerprint"], x["component_id"]) for x in got} == {i: (f"{f[i]:016x}", root[i]) for i in f}
 
 
+@pytest.mark.parametrize("blocks", [6, 7, 9])
+def test_any_grid_links_all_near_fingerprints(spark, blocks):
+    r = random.Random(blocks)
+    base = [r.getrandbits(64) for _ in range(40)]
+    points = set(base) | {b ^ sum(1 << k for k in r.sample(range(64), r.randint(1, 5))) for b in base for _ in range(40)}
+    points |= {1 << k for k in range(64)} | {0, (1 << 64) - 1}
+    # more than a block holds in one cell: all share their upper half
+    points |= {0xABCDEF0100000000 | r.getrandbits(12) for _ in range(2500)}
+    points = sorted(points)
+    signed = [p - (1 << 64) if p >> 63 else p for p in points]
+    got = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), blocks=blocks).collect()
+    mask = (1 << 64) - 1
+    assert all(((x.a & mask) ^ (x.b & mask)).bit_count() <= 4 for x in got)
+
+    def classes(pairs):
+        root = {p: p for p in points}
+
+        def top(p):
+            while root[p] != p:
+                root[p] = root[root[p]]
+                p = root[p]
+            return p
+
+        for a, b in pairs:
+            root[max(top(a), top(b))] = min(top(a), top(b))
+        return {p: top(p) for p in points}
+
+    all_points = np.array(points, np.uint64)
+    near = [(points[i], points[j]) for i in range(len(points)) for j in np.flatnonzero(np.bitwise_count(all_points ^ all_points[i]) <= 4).tolist() if i < j]
+    assert classes((x.a & mask, x.b & mask) for x in got) == classes(near)
+
+
+def test_blocks_grow_with_the_points():
+    found = [simhash.blocks_for(n) for n in (0, 10**3, 235_000, 10**7, 10**9, 10**11)]
+    assert found[0] == 6 and found == sorted(found) and found[-1] > 8
+
+
 def test_manhattan_bounds_hamming():
     r = np.random.default_rng(1)
     a, b = r.integers(0, 2**64, (2, 2000), np.uint64, endpoint=False)
@@ -248,7 +351,6 @@ def test_packing_is_whole_and_tight(spark, sf_dir):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = rows(packing.pack(docs, P.path("byte_bpe_50k.json")))
     of: dict = {}
@@ -355,6 +457,145 @@ def test_held_out_accuracy(spark, name, label, least):
     assert (got.predicted == got[label]).mean() > least
 
 
+def write_labels(spark, path, rows):
+    spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+FITS = {
+    "empty": [],
+    "null labels": [(i, None, None) for i in range(40)],
+    "null ids": [(None, i % 2, i % 2) for i in range(40)],
+    "one class": [(i, 1, 1) for i in range(40)],
+    "other class": [(i, 0, 0) for i in range(40)],
+    "unlike labels of one id": [(i, k, k) for i in range(40) for k in (0, 1)],
+    "without document": [(i + 10_000, i % 2, i % 2) for i in range(40)],
+}
+
+
+@pytest.mark.parametrize("kind", FITS)
+def test_fitting_on_odd_labels(spark, tmp_path, kind):
+    docs = text_rows(spark, ODD + [(i, f"You idiot number {i}" if i % 2 else "Plain words " * i) for i in range(40)] + [(8, "again"), (8, None)])
+    sf = write_labels(spark, tmp_path, FITS[kind])
+    for module in (quality, toxicity):
+        got = module.score(docs, module.fit(spark, docs, sf)).collect()
+        assert len(got) == docs.count() and all(0 <= x.score <= 1 for x in got)
+        empty = docs.limit(0)
+        assert module.score(empty, module.fit(spark, empty, sf)).collect() == []
+        if module is quality:
+            share = {"one class": 1, "other class": 0}.get(kind)
+            if share is not None:
+                assert all(x.predicted == share for x in got)
+            elif kind in ("empty", "null labels", "null ids", "without document"):
+                assert all(abs(x.score - 0.5) < 1e-6 for x in got)
+
+
+def test_samples_are_bounded(spark, tmp_path):
+    from tidelog.llm.common import labelled_sample
+
+    docs = text_rows(spark, [(i, "word " * (i + 1)) for i in range(60)] + [(3, "b"), (3, "a"), (4, "x" * 100_000)])
+    sf = write_labels(spark, tmp_path, [(i, 1, 0) for i in range(60)])
+    assert all(crc32(str(x.doc_id).encode()) % 5 for x in labelled_sample(spark, docs, sf, "quality", 100).collect())
+    got = labelled_sample(spark, docs, sf, "quality", 20, 2_000).collect()
+    assert 5 < len(got) <= 20 and sum(len(x.text) for x in got) <= 2_000 and len({x.doc_id for x in got}) == len(got)
+
+
+def test_quality_steps_follow_the_gradient():
+    r = np.random.default_rng(1)
+    mine, layer, part = r.standard_normal((7, quality.DIM)), r.standard_normal((quality.DIM, 2)), r.random(7)
+    part /= part.sum()
+    _, by_vectors, by_layer = quality.loss_and_gradients(mine, part, layer, 1)
+    for at in [(0, 0), (3, 5), (6, 7)]:
+        d = np.zeros_like(mine)
+        d[at] = 1e-6
+        assert abs((quality.loss_and_gradients(mine + d, part, layer, 1)[0] - quality.loss_and_gradients(mine - d, part, layer, 1)[0]) / 2e-6 - by_vectors[at]) < 1e-5
+    d = np.zeros_like(layer)
+    d[2, 1] = 1e-6
+    assert abs((quality.loss_and_gradients(mine, part, layer + d, 1)[0] - quality.loss_and_gradients(mine, part, layer - d, 1)[0]) / 2e-6 - by_layer[2, 1]) < 1e-5
+
+
+def test_quality_scores_are_of_the_averaged_vectors(spark, sf_dir, monkeypatch):
+    """The folded, cached, stretched scores against the mean of all features, one by one."""
+    monkeypatch.setattr(quality, "STRETCH", 7)
+    weights = np.random.default_rng(3).standard_normal(quality.BUCKETS).astype(np.float32)
+    of = quality.scorer(weights)
+    texts = [x.text or "" for x in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(60).collect()] + ["", "a", "a a", "a " * 50, "é \x85 ü"]
+    for text in texts:
+        words = text.split()
+        found = [quality.END] + [f for w in words for f in quality.features(w)]
+        for a, b in zip(words, words[1:]):
+            found.append(int(quality.bigrams(np.array([quality.word_hash(a), quality.word_hash(b)], np.uint64))[0]) if a != b else quality.SAME)
+        assert abs(of(text) - 1 / (1 + np.exp(-weights[found].astype(float).mean()))) < 1e-9
+        f, n = (np.frombuffer(x, t) for x, t in zip(quality.feature_counts(text, {w: quality.features(w) for w in words}), (np.uint32, np.float32)))
+        assert sorted(np.repeat(f, n.astype(int)).tolist()) == sorted(found)
+
+
+def test_label_model_finds_accuracies_and_correlations():
+    """Voters drawn from known rates, two of them copies of a third: the tree ties the copies, and their votes count once."""
+    r = np.random.default_rng(2)
+    y = r.random(4000) < 0.3
+    rate = np.array([0.8, 0.7, 0.75, 0.6, 0.65, 0.7])
+    votes = (r.random((4000, 6)) < np.where(y[:, None], rate, 0.1)).astype(float)
+    copies = np.stack([votes[:, 0], np.where(r.random(4000) < 0.02, 1 - votes[:, 0], votes[:, 0])], 1)
+    votes = np.c_[votes, copies]
+    belief = toxicity.label_model(votes, np.where(r.random(4000) < 0.05, ~y, y).astype(float))
+    assert ((belief > 0.5) == y).mean() > 0.97
+    parent = toxicity.vote_tree(votes, y.astype(float))
+    assert (parent == -1).sum() == 1 and {frozenset((6, int(parent[6]))), frozenset((7, int(parent[7])))} <= {frozenset(x) for x in ((0, 6), (0, 7), (6, 7))}
+    odds = toxicity.log_odds(votes, y.astype(float), parent)
+    # by hand: the independent voters' own odds, the copied vote once
+    p1, p0 = votes[:, :6][y].mean(0), votes[:, :6][~y].mean(0)
+    plain = (votes[:, :6] * np.log(p1 / p0) + (1 - votes[:, :6]) * np.log((1 - p1) / (1 - p0))).sum(1)
+    assert np.abs(odds - plain).mean() < 0.35
+
+
+def brute_signals(text, words):
+    """Votes and counts by looking at every word of the text."""
+    low = "".join(c.lower() if len(c.lower()) == 1 else "i" for c in text)
+    hits = []
+    for k, w in enumerate(words):
+        stem = w.rstrip("*")
+        for at in range(len(low)):
+            if low.startswith(stem, at) and (at == 0 or not low[at - 1].isalnum()):
+                if w.endswith("*") or at + len(stem) == len(low) or not low[at + len(stem)].isalnum():
+                    hits.append((k, at, at + len(stem)))
+    before = lambda a: [m[0] for m in re.finditer(r"\w+", low) if m.start() < a][-3:]
+    size = text.count(" ") + text.count("\n") + 1
+    votes = [float(any(h == k for h, _, _ in hits)) for k in range(len(words))]
+    votes += [len(hits) >= 2, len(hits) >= 4, any(set(before(a)) & toxicity.ADDRESS for _, a, _ in hits), len(hits) / size >= 0.01, any(text[a:b].isupper() for _, a, b in hits), not hits]
+    return np.array(votes + [np.log1p(len(hits)), np.log1p(100 * len(hits) / size)], np.float32)
+
+
+def test_toxicity_scores_against_brute_force(spark):
+    words = [*toxicity.LEXICON, "bla*", "xy*"]
+    r = random.Random(4)
+    parts = ["you", "are", "an", "IDIOT", "idiot", "blabla", "xylophone", "\u0130", "stupid", "the", "scum,", "quite", "a", "moronic", "moron.", "\n", "ß", "straße", "clown" + "s", "very " * 30]
+    weights = np.random.default_rng(1).standard_normal(len(words) + 8)
+    model = toxicity.Model(words, weights, -0.5)
+    docs = [(i, " ".join(r.choices(parts, k=r.randint(0, 15)))) for i in range(200)]
+    got = {x.doc_id: x for x in toxicity.score(text_rows(spark, docs), model).collect()}
+    for i, t in docs:
+        want = 1 / (1 + np.exp(-(brute_signals(t, words).astype(float) @ weights - 0.5)))
+        assert abs(got[i].score - want) < 1e-5 and got[i].predicted == int(got[i].score >= 0.5)
+
+
+def test_stems_keep_no_cap():
+    counts = [(f"stem{k:04d}", 10, 0) for k in range(900)] + [("st", 10, 50), ("other", 3, 0), ("stem0001x", 10, 0)]
+    assert len(toxicity.choose(counts, 20)) == 900
+
+
+def test_caches_are_bounded_by_bytes():
+    from tidelog.llm.common import Memo
+
+    made = []
+    memo = Memo(lambda k: made.append(k) or k * 2, 100_000)
+    for k in range(5000):
+        assert memo[f"{k:040d}"] == f"{k:040d}" * 2
+        assert memo["often"] == "oftenoften"
+    assert len(memo) + len(memo.old) < 700 and made.count("often") == 1
+    assert memo["x" * 90_000] and "x" * 90_000 not in memo
+
+
 def test_held_out_fold_is_crc32(spark):
     got = rows(quality.score(text_rows(spark, [(i, "x") for i in range(50)]), quality.train([])))
     assert all(x["held_out"] == (crc32(str(x["doc_id"]).encode()) % 5 == 0) for x in got)
