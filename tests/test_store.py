@@ -66,6 +66,33 @@ def test_overlap(spark, probe, ranges, hits):
     assert (b.lo, b.hi) == ((hits[0], hits[-1]) if hits else (None, None))
 
 
+def test_sweep_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(storage, "STRETCH", 8)
+    r = random.Random(5)
+    for n, m in ((40, 30), (1, 5), (0, 4), (4, 0)):
+        sides = []
+        for count in (n, m):
+            ends = [sorted((r.randint(0, 60), r.randint(0, 60))) for _ in range(count)]
+            sides.append([(k + 100 * len(sides), f"{a:03d}", f"{b:03d}") for k, (a, b) in enumerate(ends)])
+        left, right = (spark.createDataFrame(x, "file_id long, first_key string, last_key string") for x in sides)
+        meets = lambda x, y: x[1] <= y[2] and x[2] >= y[1]
+        got = sorted((x.left_id, x.right_id) for x in storage.overlap_pairs(left, right).collect())
+        assert got == sorted((x[0], y[0]) for x in sides[0] for y in sides[1] if meets(x, y))
+        alone = [x[0] for x in sides[0] if not any(meets(x, y) for y in sides[1]) and sum(meets(x, y) for y in sides[0]) == 1]
+        hit = [y[0] for y in sides[1] if any(meets(x, y) for x in sides[0])]
+        merging, passing, taken, stay = ([x.file_id for x in df.orderBy("file_id").collect()] for df in storage.split_inputs(left, right))
+        assert passing == alone and merging == [x[0] for x in sides[0] if x[0] not in alone]
+        assert taken == hit and stay == [y[0] for y in sides[1] if y[0] not in hit]
+    spark.catalog.clearCache()
+
+
+def test_ids_are_dense_in_the_order_given(spark):
+    rows = spark.range(10_000).selectExpr("id % 7 AS a", "id AS b", "'x' AS `a.b`")
+    got = oplog.sequence(rows, 5, ["a", "b"]).orderBy("op_id").collect()
+    assert [x.op_id for x in got] == list(range(5, 10_005)) and [(x.a, x.b) for x in got] == sorted((i % 7, i) for i in range(10_000))
+    assert oplog.sequence(rows.limit(0), 5, ["a"]).collect() == []
+
+
 def test_key_range_of_nothing_raises(spark):
     files = spark.createDataFrame([], "file_id long, first_key string, last_key string")
     with pytest.raises(Exception, match="no files"):
@@ -77,10 +104,11 @@ def test_as_of_join_across_stretches(spark, monkeypatch):
     r = random.Random(1)
     rows = [(i, r.choice("abc"), None if r.random() < 0.3 else i) for i in range(60)]
     probes = [(p, r.choice("abcd"), r.randint(0, 70)) for p in range(80)]
-    p = spark.createDataFrame([(a, bytearray(k.encode()), t) for a, k, t in probes], "probe_id int, key binary, as_of long")
+    probes += [(80, None, 5), (81, "a", None), (82, None, None), (83, "a", -1)]
+    p = spark.createDataFrame([(a, None if k is None else bytearray(k.encode()), t) for a, k, t in probes], "probe_id int, key binary, as_of long")
     want = {}
     for a, k, t in probes:
-        seen = [(i, v) for i, kk, v in rows if kk == k and i <= t]
+        seen = [(i, v) for i, kk, v in rows if kk == k and t is not None and i <= t]
         want[a] = seen[-1] if seen and seen[-1][1] is not None else (None, None)
     got = {x.probe_id: (x.op_id, None if x.value is None else int(bytes(x.value))) for x in versions.as_of_join(p, log(spark, rows)).collect()}
     assert got == want
@@ -155,15 +183,105 @@ def test_lost_races_and_damaged_commits(spark, tmp_path):
     store.write_batch(batch(spark, [("a", "1")]), ["n"])
     with pytest.raises(Conflict):
         store._commit(stale)
-    name = store.files.names("log")[0]
+    name = [n for n in store.files.names("log") if n[0].isdigit()][0]
     data = store.files.read(f"log/{name}")
     store.files.replace(f"log/{name}", data.replace(b"next_op_id", b"next_op_iD"))
     with pytest.raises(ValueError, match="checksum"):
-        store.state()
+        Store(spark, store.path).state()
     with pytest.raises(Exception, match="malformed"):
         Store(spark, str(tmp_path / "d"), SMALL).write_batch(spark.createDataFrame([(bytearray(b"k"), "X", None)], "key binary, op string, value binary"))
 
 
+@pytest.mark.parametrize("left", [0, 1, 40, -1])
+def test_a_cut_off_last_commit_counts_as_absent(spark, tmp_path, left):
+    store = Store(spark, str(tmp_path / "torn"), SMALL)
+    for k in "ab":
+        store.write_batch(batch(spark, [(k, k)]), ["n"])
+    name = f"log/{1:020d}.json"
+    store.files.replace(name, store.files.read(name)[:left])
+    again = Store(spark, store.path)
+    assert again.state().version == 0 and found(again.reader().snapshot()) == {"a": "a"}
+    assert again.write_batch(batch(spark, [("c", "c")]), ["n"]) == 1
+    assert found(Store(spark, store.path).reader().snapshot()) == {"a": "a", "c": "c"}
+    store.files.replace(f"log/{0:020d}.json", b"")
+    with pytest.raises(ValueError, match="incomplete"):
+        Store(spark, store.path).state()
+    store.files.delete(f"log/{0:020d}.json")
+    with pytest.raises(ValueError, match="missing"):
+        Store(spark, store.path).state()
+
+
+def test_vacuum_leaves_a_batch_that_is_being_written(spark, tmp_path, monkeypatch):
+    """Vacuum runs between the write of the files and their commit, and after a writer that failed."""
+    store = Store(spark, str(tmp_path / "v"), SMALL)
+    store.write_batch(batch(spark, [("a", "1")]), ["n"])
+    commit, gone = Store._commit, []
+
+    def late(self, *a, **k):
+        gone.append(Store(spark, store.path).vacuum())
+        return commit(self, *a, **k)
+
+    monkeypatch.setattr(Store, "_commit", late)
+    store.write_batch(batch(spark, [("b", "2")]), ["n"])
+    assert gone == [0] and found(store.reader().snapshot()) == {"a": "1", "b": "2"}
+
+    def fails(self, *a, **k):
+        raise OSError("lost")
+
+    monkeypatch.setattr(Store, "_commit", fails)
+    with pytest.raises(OSError):
+        store.write_batch(batch(spark, [("c", "3")]), ["n"])
+    monkeypatch.setattr(Store, "_commit", commit)
+    assert store.vacuum() == 1 and found(store.reader().snapshot()) == {"a": "1", "b": "2"}
+    # a writer that died leaves its mark: its folder stays until the mark is old
+    store._write_runs(log(spark, [(9, "x", "y")]), 0, 99, None)
+    assert store.vacuum() == 0 and store.vacuum(stale=0) == 1
+    # files that are gone are never committed
+    files = store._write_runs(log(spark, [(9, "x", "y")]), 0, 99, None)
+    store.vacuum(stale=0)
+    with pytest.raises(Conflict, match="gone"):
+        store._commit(store.state(), files)
+
+
+def test_checkpoints_of_the_manifest(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "k"), SMALL)
+    for k in range(18):
+        state = store._commit(store.state(), next_op_id=k + 1, batches={"s": k})
+    assert [n for n in store.files.names("log") if n.startswith("checkpoint-")] == [f"checkpoint-{15:020d}.json"]
+    again = Store(spark, store.path)
+    assert again.state() == state and again.state(3).next_op_id == 4 and again.state(15).batches == {"s": 15}
+    for k in range(15):
+        store.files.delete(f"log/{k:020d}.json")
+    assert Store(spark, store.path).state() == state
+
+
+def test_memtables_are_sealed_flushed_and_gated(spark, tmp_path):
+    """Layered reads over active and sealed memtables and level 0, and the gate of the flush."""
+    store = Store(spark, str(tmp_path / "f"), Config(lsm_storage_config=StorageConfig(120, LevelConfig(1, 2, TableConfig(256)))))
+    put = lambda *pairs: store.write_batch(batch(spark, pairs), ["n"], memtable=True)
+    put(("30", "a"), ("40", "b"))
+    state = store.state()
+    assert state.levels == ((),) and not state.sealed and state.memtable_bytes() > 0 and not store.flush()
+    put(("30", "c" * 90))  # over the limit: sealed with the batch that reaches it
+    assert store.state().sealed == (0,) and store.state().memtable_bytes() == 0 and store.need_flush()
+    put(("40", None), ("50", "e"))
+    assert found(store.reader().snapshot()) == {"30": "c" * 90, "50": "e"}
+    assert found(store.reader(1).snapshot()) == {"30": "a", "40": "b"}
+    assert [(r.memtable, r.sealed) for r in store.memtables().orderBy("memtable").collect()] == [(0, True), (1, False)]
+    assert sorted({(r.level, r.idx) for r in store.describe().collect()}) == [(-1, 0), (-1, 1)]
+    for k in range(2):
+        assert store.freeze()
+        put((f"6{k}", "x"))
+    assert store.freeze() and not store.freeze()
+    assert len(store.state().sealed) == 4
+    done = store.flush()  # level 0 may hold one over its limit, then the gate shuts
+    assert 0 < done < 4 and len(store.state().levels[0]) > 1 and not store.need_flush()
+    store.maintain()
+    assert not store.state().sealed and not store.state().memory and not store.need_compact()
+    again = Store(spark, store.path).reader()
+    assert found(again.snapshot()) == {"30": "c" * 90, "50": "e", "60": "x", "61": "x"} and found(again.at(1).snapshot()) == {"30": "a", "40": "b"}
+
+
 def test_writer_acknowledges_and_drains(spark, tmp_path):
     store = Store(spark, str(tmp_path / "w"), SMALL)
     w = Writer(store)
@@ -171,8 +289,59 @@ def test_writer_acknowledges_and_drains(spark, tmp_path):
     w.close()
     assert [f.result() for f in acks] == [4, 5, 5] and store.current_op_id() == 6
     assert found(store.reader().snapshot()) == {"a": "3", "d": ""}
+    assert not store.state().memory and not store.state().sealed  # closing seals and flushes
     with pytest.raises(RuntimeError):
         w.put([])
+    w.close()
+
+
+def test_no_future_is_left_open_by_closing(spark, tmp_path):
+    import threading
+
+    store = Store(spark, str(tmp_path / "race"), SMALL)
+    w = Writer(store)
+    futures, refused = [], []
+
+    def client():
+        for _ in range(200):
+            try:
+                futures.append(w.put([]))
+            except RuntimeError:
+                refused.append(1)
+
+    threads = [threading.Thread(target=client) for _ in range(4)]
+    for t in threads:
+        t.start()
+    w.close()
+    for t in threads:
+        t.join()
+    assert len(futures) + len(refused) == 800 and all(f.result(timeout=30) == 0 for f in futures)
+
+
+def test_background_compaction_and_back_pressure(spark, tmp_path):
+    """Every memtable is sealed by one batch; writers wait for the flush of sealed ones, and levels stay under capacity."""
+    config = Config(lsm_storage_config=StorageConfig(60, LevelConfig(1, 2, TableConfig(256))), imm_num_limit=1, thread_sleep_time=50, request_queue_size=1)
+    store = Store(spark, str(tmp_path / "bg"), config)
+    w = Writer(store)
+    most = 0
+    for k in range(6):
+        w.put([(f"{j}".encode(), f"{k}".encode()) for j in range(4)]).result(timeout=120)
+        most = max(most, len(store.state().sealed))
+    w.trigger_compact(wait=True)
+    assert most <= config.imm_num_limit and store.compactions > 0 and not store.need_compact() and not store.state().sealed
+    w.close()
+    assert found(store.reader().snapshot()) == {str(j): "5" for j in range(4)}
+    # without auto_compact nothing happens until it is asked for
+    store = Store(spark, str(tmp_path / "manual"), Config(lsm_storage_config=StorageConfig(60, LevelConfig(1, 2, TableConfig(256))), auto_compact=False, thread_sleep_time=20, request_queue_size=1))
+    w = Writer(store)
+    w.put([(b"k", b"v" * 100)]).result(timeout=60)
+    import time
+
+    time.sleep(0.3)
+    assert len(store.state().sealed) == 1
+    w.trigger_compact(wait=True)
+    assert not store.state().sealed and store.state().levels[0]
+    w.close()
 
 
 def test_stream_equals_batch_and_retries_write_once(spark, tmp_path):
@@ -218,6 +387,26 @@ def test_wire_formats(spark, tmp_path):
     blocks = list(wire.pack_blocks(many))
     assert all(len(b) == 4096 for b in blocks) and [o[0] for b in blocks for o in wire.read_block(b)] == list(range(200))
     assert len(wire.encode_record(0, b"k", "W", b"v" * 4063)) == 4089
+    assert [wire.first_key(b) for b in blocks] == [b"k" * 20] * len(blocks)
+    block, n = wire.fill_block(many)
+    assert block == blocks[0] and n == struct.unpack("<Q", block[-8:])[0]
+    with pytest.raises(ValueError):
+        wire.fill_block([])
+    meta = wire.encode_block_meta(b"a", b"xyz")
+    assert meta.hex() == "0100000000000000" + "61" + "0300000000000000" + "78797a"
+    assert wire.decode_block_meta(b"--" + meta, 2) == ((b"a", b"xyz"), 2 + len(meta))
+    with pytest.raises(ValueError):
+        wire.decode_block_meta(meta[:-1])
+    table = [(i, f"{i:06d}".encode(), "W", b"v" * 50) for i in range(300)]
+    packed, metas, done = wire.fill_table(table, 2)
+    assert len(packed) == len(metas) == 2 and done < 300 and [o for b in packed for o in wire.read_block(b)] == table[:done]
+    assert [wire.decode_block_meta(m)[0] for m in metas][1][1] == table[done - 1][1]
+    from tidelog.sources.files import Files
+
+    files = Files(spark, str(tmp_path))
+    names = [wire.append_wal(files, "batches", ops[:2]), wire.append_wal(files, "batches", ops[2:])]
+    assert names == sorted(names) and wire.read_wal(spark, str(tmp_path / "batches")).count() == 3
+    assert files.create("once", b"1") and not files.create("once", b"2") and files.read("once") == b"1"
     with pytest.raises(ValueError):
         list(wire.pack_blocks([b"x" * 4089]))
 
@@ -249,3 +438,12 @@ def test_a_hot_key_of_a_batch_is_written_by_many_tasks(spark, tmp_path):
     store.compact(collapse=True)
     del want["hot"]
     assert found(store.reader().snapshot()) == want and not store.state().levels[0]
+
+
+def test_logging(capsys):
+    import logging
+
+    from tidelog.config import enable_log
+
+    logger = enable_log("INFO")
+    assert enable_log(logging.WARNING) is logger and len(logger.handlers) == 1 and logger.level == logging.WARNING

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 from dataclasses import asdict, dataclass, field
 
 
@@ -56,3 +57,14 @@ class Config:
             return Config(lsm_storage_config=StorageConfig(level_config=LevelConfig(table_config=table, **level), **s), **d)
         except (ValueError, TypeError, KeyError) as e:
             raise ConfigInvalid(str(e)) from e
+
+
+def enable_log(level: int | str = logging.INFO) -> logging.Logger:
+    """The package's logger, told to standard error from ``level`` on."""
+    logger = logging.getLogger("tidelog")
+    if not logger.handlers:
+        handler = logging.StreamHandler()
+        handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(name)s %(message)s"))
+        logger.addHandler(handler)
+    logger.setLevel(level)
+    return logger

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+from pyspark.storagelevel import StorageLevel
 
 from ..functions.scalars import DELETE, WRITE, padded
 
@@ -43,9 +45,17 @@ def from_orders(orders: DataFrame) -> DataFrame:
     return oplog(orders, "o_orderkey", padded("o_custkey"), F.col("o_orderstatus") == "F", "o_totalprice")
 
 
-def sequence(batch: DataFrame, first_id: int, order: list[str]) -> DataFrame:
-    """Dense consecutive ids in the order given: rows are sorted by ranges, the ranges counted in one pass, and each
-    row numbered inside its range from the rows before it. No built-in expression numbers a whole table without
-    gaps unless all of it meets in one task, hence the RDD."""
-    numbered = batch.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + first_id))
-    return batch.sparkSession.createDataFrame(numbered, T.StructType([*batch.schema.fields, T.StructField("op_id", T.LongType(), False)]))
+def sequence(batch: DataFrame, first_id: int, order: list[str], name: str = "op_id") -> DataFrame:
+    """Dense consecutive ids in the order given. Rows are dealt and sorted by ranges once and kept on the executors' disks
+    with their place in their range, as a second dealing might cut the ranges elsewhere; a lost executor's ranges are dealt
+    again as they were. The ranges are counted, and each row adds what the ranges before its own hold. The counts have one
+    row a range, so they are broadcast. Release the result's cache with ``spark.catalog.clearCache`` or ``unpersist``."""
+    place = F.monotonically_increasing_id()  # range number and place in it
+    dealt = batch.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", place).persist(StorageLevel.DISK_ONLY)
+    part = F.shiftright("_place", 33)
+    counts = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part")) - F.col("_n")).alias("_before"))
+    numbered = dealt.withColumn("_part", part).join(F.broadcast(before), "_part")
+    out = numbered.select(*[F.col(f"`{c}`") for c in batch.columns], (F.col("_before") + F.col("_place").bitwiseAND((1 << 33) - 1) + first_id).alias(name))
+    out._cached = dealt
+    return out

@@ -2,7 +2,8 @@
 
 A manifest has a row for each live file: level, idx (place in its level), file_id, first_key, last_key, rows, bytes,
 min_op_id, max_op_id. It is small next to the data, but grows with it, so joins on it are left to Spark's measured
-sizes, and overlaps are found by a sweep instead of a product.
+sizes, and overlaps are found by a sweep over the sorted ends of the ranges: its running counts tell how many ranges meet
+each range, and for pairs which ones, without comparing any two.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import encode_size, level_capacity, request_size
+from . import oplog
 from .versions import latest
 
 
@@ -33,12 +35,61 @@ def key_range(files: DataFrame) -> DataFrame:
     return found.select(F.when(F.col("n") > 0, F.col("first_key")).otherwise(F.raise_error(F.lit("no files")).cast("string")).alias("first_key"), "last_key")
 
 
+def _sweep(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Starts and ends of all ranges in the order of keys, at equal keys starts first, with how many starts and ends of
+    either side have come up to each: side (0 left), file_id, kind (0 start), pos, starts0, ends0, starts1, ends1."""
+    ends = None
+    for side, files in enumerate((left, right)):
+        part = files.select(F.lit(side).alias("side"), "file_id", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("first_key").alias("at")), F.struct(F.lit(1).alias("kind"), F.col("last_key").alias("at")))).alias("e"))
+        ends = part if ends is None else ends.unionByName(part)
+    placed = oplog.sequence(ends.select("side", "file_id", F.col("e.kind").alias("kind"), F.col("e.at").alias("at")), 0, ["at", "kind", "side", "file_id"], "pos")
+    names = [f"{n}{side}" for side in (0, 1) for n in ("starts", "ends")]
+    flags = [((F.col("side") == side) & (F.col("kind") == kind)).cast("long").alias(f"{n}{side}") for side in (0, 1) for kind, n in enumerate(("starts", "ends"))]
+    flagged = placed.select("side", "file_id", "kind", "pos", *flags)
+    return running(flagged, names, "pos")
+
+
+def running(rows: DataFrame, names: list[str], order: str) -> DataFrame:
+    """Running sums of columns in the order of dense or nearly dense numbers, by stretches of these: the sums of the
+    stretches before (a row a stretch) plus a sum inside. Other columns stay."""
+    inside = Window.partitionBy("_stretch").orderBy(order)
+    before = Window.partitionBy(F.lit(0)).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    cut = rows.withColumn("_stretch", F.floor(F.col(order) / STRETCH))
+    sums = cut.groupBy("_stretch").agg(*[F.sum(n).alias(f"_{n}") for n in names])
+    bases = sums.select("_stretch", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in names])
+    summed = cut.select(*[c for c in cut.columns if c not in names], *[F.sum(n).over(inside).alias(n) for n in names])
+    return summed.join(bases, "_stretch").select(*[c for c in rows.columns if c not in names], *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in names])
+
+
+STRETCH = 1 << 16
+
+
+def _ranges(swept: DataFrame) -> DataFrame:
+    """One row per range: side, file_id, pos, and the counts at its start (s) and end (e)."""
+    counts = ("starts0", "ends0", "starts1", "ends1")
+    at = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    return swept.groupBy("side", "file_id").agg(at(0, "pos").alias("pos"), *[at(0, c).alias(f"s_{c}") for c in counts], *[at(1, c).alias(f"e_{c}") for c in counts])
+
+
+def overlap_counts(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(side, file_id, n_left, n_right): how many ranges of either side meet each range; its own side's count has itself."""
+    met = lambda k: F.col(f"e_starts{k}") - F.col(f"s_ends{k}")  # noqa: E731  begun by its end, less those over before its start
+    return _ranges(_sweep(left, right)).select("side", "file_id", met(0).alias("n_left"), met(1).alias("n_right"))
+
+
 def overlap_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(left_id, right_id) of closed ranges that meet: files of each side, with file_id, first_key, last_key. The
-    condition is stated; for sorted disjoint levels ``overlaps_any`` answers without pairs."""
-    a = left.select(F.col("file_id").alias("left_id"), F.col("first_key").alias("lf"), F.col("last_key").alias("ll"))
-    b = right.select(F.col("file_id").alias("right_id"), F.col("first_key").alias("rf"), F.col("last_key").alias("rl"))
-    return a.join(b, (F.col("lf") <= F.col("rl")) & (F.col("ll") >= F.col("rf"))).select("left_id", "right_id")
+    """(left_id, right_id) of closed ranges that meet: files of each side, with file_id, first_key, last_key. Of two that
+    meet, one begins inside the other; the starts of a side are numbered, so a range meets a run of numbers."""
+    found = _ranges(_sweep(left, right))
+    out = None
+    for side, other in ((0, 1), (1, 0)):
+        inside = found.filter(F.col("side") == side).select("file_id", F.col(f"s_starts{other}").alias("lo"), F.col(f"e_starts{other}").alias("hi")).filter("hi > lo")
+        runs = inside.select("file_id", F.explode(F.sequence(F.col("lo") + 1, "hi")).alias("number"))
+        begun = found.filter(F.col("side") == other).select(F.col("file_id").alias("other_id"), F.col(f"s_starts{other}").alias("number"))
+        met = runs.join(begun, "number")
+        pairs = met.select(F.col("file_id" if side == 0 else "other_id").alias("left_id"), F.col("other_id" if side == 0 else "file_id").alias("right_id"))
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
 
 
 def overlap_bounds(first, last, files: DataFrame) -> DataFrame:
@@ -49,15 +100,12 @@ def overlap_bounds(first, last, files: DataFrame) -> DataFrame:
 def split_inputs(inputs: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(inputs to merge, inputs that pass through, targets to merge, targets that stay): an input passes if it meets
     neither a target nor another input."""
-    meets = lambda x, y: (x["first_key"] <= y["last_key"]) & (x["last_key"] >= y["first_key"])
-    i, o, t = inputs.alias("i"), inputs.alias("o"), targets.alias("t")
-    named = lambda p: {"first_key": F.col(f"{p}.first_key"), "last_key": F.col(f"{p}.last_key")}
-    no_target = i.join(t, meets(named("i"), named("t")), "left_anti")
-    passing = no_target.alias("i").join(o, meets(named("i"), named("o")) & (F.col("i.file_id") != F.col("o.file_id")), "left_anti")
-    merging = inputs.join(passing.select("file_id"), "file_id", "left_anti").select(*inputs.columns)
-    hit = t.join(i, meets(named("t"), named("i")), "left_semi")
-    stay = t.join(i, meets(named("t"), named("i")), "left_anti")
-    return merging, passing, hit, stay
+    counts = overlap_counts(inputs, targets)
+    of = lambda side: counts.filter(F.col("side") == side).select("file_id", "n_left", "n_right")
+    i, t = inputs.join(of(0), "file_id"), targets.join(of(1), "file_id")
+    alone = (F.col("n_left") == 1) & (F.col("n_right") == 0)
+    pick = lambda df, own: df.select(*own.columns)
+    return pick(i.filter(~alone), inputs), pick(i.filter(alone), inputs), pick(t.filter("n_left > 0"), targets), pick(t.filter("n_left = 0"), targets)
 
 
 def delete_changes(files: DataFrame) -> DataFrame:
@@ -66,11 +114,18 @@ def delete_changes(files: DataFrame) -> DataFrame:
 
 
 def assemble_level(*parts: DataFrame) -> DataFrame:
-    """The files of a level by first key, with their final places. One level's manifest at a time is ranked."""
+    """The files of levels by first key, with their final places."""
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
-    return union.withColumn("idx", (F.row_number().over(Window.partitionBy("level").orderBy("first_key", "file_id")) - 1).cast("int"))
+    placed = oplog.sequence(union, 0, ["level", "first_key", "file_id"], "_at")
+    starts = placed.groupBy("level").agg(F.min("_at").alias("_first"))  # a row a level
+    return placed.join(F.broadcast(starts), "level").withColumn("idx", (F.col("_at") - F.col("_first")).cast("int")).drop("_at", "_first")
+
+
+def add_changes(assembled: DataFrame, new: DataFrame) -> DataFrame:
+    """Additions of the new files, at their final places."""
+    return assembled.join(new.select("file_id"), "file_id", "left_semi").select("idx", "file_id", F.lit("Add").alias("change"))
 
 
 def level_counts(manifest: DataFrame, depth: int) -> DataFrame:
@@ -80,7 +135,8 @@ def level_counts(manifest: DataFrame, depth: int) -> DataFrame:
 
 
 def tables_by_level(manifest: DataFrame) -> DataFrame:
-    return manifest.groupBy("level").agg(F.sort_array(F.collect_list("file_id")).alias("file_ids"))
+    """The live files of each level, one row each: a level may have any number of them."""
+    return manifest.select("level", "file_id")
 
 
 def totals(manifest: DataFrame) -> DataFrame:
@@ -123,9 +179,15 @@ def total_sizes(log: DataFrame) -> DataFrame:
 
 
 def memtable_bytes(log: DataFrame) -> DataFrame:
-    """Bytes written up to each operation, by stretches of ids: sums of stretches before, plus a sum inside."""
-    inside = Window.partitionBy("stretch").orderBy("op_id")
-    before = Window.partitionBy("all").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    sized = log.select("op_id", encode_size().alias("size"), F.floor(F.col("op_id") / (1 << 16)).alias("stretch"))
-    sums = sized.groupBy("stretch").agg(F.sum("size").alias("s")).withColumn("all", F.lit(0)).withColumn("base", F.coalesce(F.sum("s").over(before), F.lit(0)))
-    return sized.withColumn("inner", F.sum("size").over(inside)).join(sums.select("stretch", "base"), "stretch").select("op_id", (F.col("base") + F.col("inner")).alias("filled_bytes"))
+    """Bytes written up to each operation."""
+    return running(log.select("op_id", encode_size().alias("filled_bytes")), ["filled_bytes"], "op_id")
+
+
+def memtables(log: DataFrame, limit: int) -> DataFrame:
+    """Memtables of a log that is written operation by operation into one that is sealed when it holds ``limit`` bytes:
+    memtable (from 0), n_ops, bytes, sealed. Here an operation's memtable is told by the bytes before it, so that one is
+    sealed by the operation that reaches a multiple of ``limit``."""
+    sized = memtable_bytes(log).join(log.select("op_id", encode_size().alias("size")), "op_id")
+    of = F.floor((F.col("filled_bytes") - F.col("size")) / limit).cast("long")
+    found = sized.groupBy(of.alias("memtable")).agg(F.count("*").alias("n_ops"), F.sum("size").alias("bytes"), F.max("filled_bytes").alias("_filled"))
+    return found.select("memtable", "n_ops", "bytes", (F.col("_filled") >= (F.col("memtable") + 1) * limit).alias("sealed"))

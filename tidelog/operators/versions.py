@@ -9,15 +9,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scalars import DELETE, WRITE
 
+STRETCH = 1 << 20  # ids of a stretch
+
 
-def as_of(log: DataFrame, horizon: int | None) -> DataFrame:
+def as_of(log: DataFrame, horizon: int | Column | None) -> DataFrame:
+    """horizon: an id, or a column of one value such as a scalar subquery."""
     return log if horizon is None else log.filter(F.col("op_id") <= horizon)
 
 
-def latest(log: DataFrame, horizon: int | None = None, by: tuple[str, ...] = ("key",)) -> DataFrame:
+def latest(log: DataFrame, horizon: int | Column | None = None, by: tuple[str, ...] = ("key",)) -> DataFrame:
     """The newest version of each key, tombstones included."""
     rest = [c for c in log.columns if c not in (*by, "op_id")]
     newest = as_of(log, horizon).groupBy(*by).agg(F.max(F.struct("op_id", *rest)).alias("v"))
@@ -28,21 +32,21 @@ def live(versions: DataFrame) -> DataFrame:
     return versions.filter(F.col("op") == WRITE).drop("op")
 
 
-def snapshot(log: DataFrame, horizon: int | None = None) -> DataFrame:
+def snapshot(log: DataFrame, horizon: int | Column | None = None) -> DataFrame:
     return live(latest(log, horizon))
 
 
-def get(log: DataFrame, key, horizon: int | None = None) -> DataFrame:
+def get(log: DataFrame, key, horizon: int | Column | None = None) -> DataFrame:
     """Point read: the key filter reaches the scan."""
     return snapshot(log.filter(F.col("key") == F.lit(key)), horizon)
 
 
-def multi_get(log: DataFrame, keys: DataFrame, horizon: int | None = None) -> DataFrame:
+def multi_get(log: DataFrame, keys: DataFrame, horizon: int | Column | None = None) -> DataFrame:
     """Batched point reads; ``keys`` has a column ``key``. Spark picks the join by the measured size of the keys."""
     return snapshot(log.join(keys.select("key").distinct(), "key", "left_semi"), horizon)
 
 
-def range_scan(log: DataFrame, start, end, horizon: int | None = None) -> DataFrame:
+def range_scan(log: DataFrame, start, end, horizon: int | Column | None = None) -> DataFrame:
     """Keys in [start, end); None leaves a side open."""
     if start is not None:
         log = log.filter(F.col("key") >= F.lit(start))
@@ -51,7 +55,7 @@ def range_scan(log: DataFrame, start, end, horizon: int | None = None) -> DataFr
     return snapshot(log, horizon)
 
 
-def deleted_keys(log: DataFrame, horizon: int | None = None) -> DataFrame:
+def deleted_keys(log: DataFrame, horizon: int | Column | None = None) -> DataFrame:
     return latest(log, horizon).filter(F.col("op") == DELETE).select("key", "op_id")
 
 
@@ -62,7 +66,8 @@ def history(log: DataFrame, key: Column | None = None) -> DataFrame:
 
 
 def as_of_join(probes: DataFrame, log: DataFrame) -> DataFrame:
-    """For each probe (probe_id, key, as_of) the version visible to it; probes that see none, or a tombstone, get nulls.
+    """For each probe (probe_id, key, as_of) the version visible to it; probes that see none, or a tombstone, get nulls,
+    and so do probes without key or as_of.
 
     A union of both sides is swept in the order of ids inside each key, so nothing is multiplied: each probe takes the
     last version before it. A key's rows are divided into stretches of ids first, so that a hot key is swept by many
@@ -73,20 +78,17 @@ def as_of_join(probes: DataFrame, log: DataFrame) -> DataFrame:
     rows = log.select("key", F.col("op_id").alias("at"), F.lit(0).alias("kind"), version.alias("v"), F.lit(None).cast(probes.schema["probe_id"].dataType).alias("probe_id"))
     asked = probes.select("key", F.col("as_of").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(rows.schema["v"].dataType).alias("v"), "probe_id")
     both = rows.unionByName(asked).withColumn("stretch", stretch)
-    from pyspark.sql.window import Window
-
     inside = Window.partitionBy("key", "stretch").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     swept = both.withColumn("seen", F.last("v", ignorenulls=True).over(inside)).filter("kind = 1")
     ends = both.groupBy("key", "stretch").agg(F.max(F.when(F.col("kind") == 0, F.struct("at", "v"))).alias("e"))
     carried = ends.withColumn("before", F.last(F.col("e.v"), ignorenulls=True).over(Window.partitionBy("key").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)))
-    seen = swept.join(carried.select("key", "stretch", "before"), ["key", "stretch"]).withColumn("s", F.coalesce("seen", "before"))
+    carried = carried.filter("before IS NOT NULL").select(F.col("key").alias("k"), F.col("stretch").alias("of"), "before")
+    seen = swept.join(carried, (F.col("key") == F.col("k")) & (F.col("stretch") == F.col("of")), "left")
+    seen = seen.withColumn("s", F.when(F.col("at").isNotNull(), F.coalesce("seen", "before")))
     hit = F.col("s.op") == WRITE
     return seen.select("probe_id", "key", F.col("at").alias("as_of"), F.when(hit, F.col("s.op_id")).alias("op_id"), F.when(hit, F.col("s.value")).alias("value"))
 
 
-STRETCH = 1 << 20  # ids of a stretch
-
-
 def merge_runs(runs: list[DataFrame], drop_tombstones: bool = False) -> DataFrame:
     """Sorted runs to one: the newest version of each key over all runs; duplicates inside a run are no matter."""
     union = runs[0]

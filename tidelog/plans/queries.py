@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
@@ -14,7 +14,8 @@ LOGS = {
     "events": "SELECT event_id AS op_id, lpad(CAST(user_id AS VARCHAR), 6, '0') AS key, CASE WHEN event_type = 'error' THEN 'D' ELSE 'W' END AS op, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS value FROM events",
     "orders": "SELECT o_orderkey AS op_id, lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS key, CASE WHEN o_orderstatus = 'F' THEN 'D' ELSE 'W' END AS op, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_totalprice END AS value FROM orders",
 }
-RUN, LIMIT, RATIO, HORIZON = 1000, 2, 2, 700
+RUN, LIMIT, RATIO = 1000, 2, 2
+HALF = "(SELECT max(op_id) // 2 FROM log)"  # the horizon of reads as of an id: half of all ids
 
 
 def log_of(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
@@ -22,6 +23,11 @@ def log_of(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
     return {"events": oplog.from_events, "orders": oplog.from_orders}[name](table)
 
 
+def half(log: DataFrame) -> Column:
+    """Half of the greatest id, as a scalar subquery."""
+    return F.floor(log.agg(F.max("op_id")).scalar() / 2)
+
+
 def _latest(where: str = "true", log: str = "events", keep: str = "rn = 1", columns: str = "key, op_id, op, value", by: str = "key") -> str:
     return f"WITH log AS ({LOGS[log]}) SELECT {columns} FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY op_id DESC) AS rn FROM log WHERE {where}) WHERE {keep}"
 
@@ -43,13 +49,13 @@ for _log in LOGS:
     _s = "" if _log == "events" else f"_{_log}"
     query(f"latest_with_tombstones{_s}", _latest(log=_log), lambda s, d, n=_log: versions.latest(log_of(s, d, n)))
     query(f"snapshot_scan{_s}", _latest(log=_log, keep=LIVE, columns=KV), lambda s, d, n=_log: versions.snapshot(log_of(s, d, n)))
-    query(f"snapshot_as_of{_s}", _latest(f"op_id <= {HORIZON}", _log, LIVE, KV), lambda s, d, n=_log: versions.snapshot(log_of(s, d, n), HORIZON))
+    query(f"snapshot_as_of{_s}", _latest(f"op_id <= {HALF}", _log, LIVE, KV), lambda s, d, n=_log: versions.snapshot(log_of(s, d, n), half(log_of(s, d, n))))
     query(f"deleted_keys{_s}", _latest(log=_log, keep="rn = 1 AND op = 'D'", columns="key, op_id"), lambda s, d, n=_log: versions.deleted_keys(log_of(s, d, n)))
     query(f"live_key_count{_s}", f"SELECT count(*) AS n_keys FROM ({_latest(log=_log, keep=LIVE)})", lambda s, d, n=_log: versions.snapshot(log_of(s, d, n)).agg(F.count("*").alias("n_keys")))
     query(f"range_scan{_s}", _latest("key >= '000003' AND key < '000100'", _log, LIVE, KV), lambda s, d, n=_log: versions.range_scan(log_of(s, d, n), "000003", "000100"))
     query(f"encode_size_total{_s}", f"WITH log AS (SELECT op_id, key, op, CASE WHEN op = 'W' THEN 'v' || CAST(op_id AS VARCHAR) END AS v FROM ({LOGS[_log]})) SELECT count(*) AS n_ops, CAST(sum(17 + strlen(key) + CASE WHEN op = 'W' THEN 8 + strlen(v) ELSE 0 END) AS BIGINT) AS record_bytes, CAST(sum(9 + strlen(key) + CASE WHEN op = 'W' THEN 8 + strlen(v) ELSE 0 END) AS BIGINT) AS batch_bytes FROM log", lambda s, d, n=_log: storage.total_sizes(_texts(log_of(s, d, n))))
     query(f"version_history{_s}", f"WITH log AS ({LOGS[_log]}) SELECT key, op_id, op, value FROM log ORDER BY key, op_id", lambda s, d, n=_log: versions.history(log_of(s, d, n)).select("key", "op_id", "op", "value"))
-    query(f"merge_runs{_s}", _latest(log=_log), lambda s, d, n=_log: versions.merge_runs([storage.flush_runs(log_of(s, d, n), F.floor(F.col("op_id") / RUN)).drop("run_id")]))
+    query(f"merge_runs{_s}", _latest(log=_log), lambda s, d, n=_log: versions.merge_runs([storage.flush_runs(log_of(s, d, n).filter(F.floor(F.col("op_id") / RUN) % 4 == k), F.floor(F.col("op_id") / RUN)).drop("run_id") for k in range(4)]))
     query(f"compact_deepest{_s}", _latest(log=_log, keep=LIVE), lambda s, d, n=_log: versions.merge_runs([versions.latest(log_of(s, d, n).filter(F.col("op_id") % 3 == k)) for k in range(3)], drop_tombstones=True))
     query(f"flush_runs{_s}", _latest(log=_log, columns="run_id, key, op_id, op, value", by="op_id // 1000, key").replace("SELECT *, row_number()", "SELECT *, op_id // 1000 AS run_id, row_number()"), lambda s, d, n=_log: storage.flush_runs(log_of(s, d, n), F.floor(F.col("op_id") / RUN)).select("run_id", "key", "op_id", "op", "value"))
 
@@ -68,8 +74,7 @@ def _point(op: str):
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         log = log_of(spark, sf_dir)
-        key = versions.latest(log).filter(F.col("op") == op).agg(F.min("key")).first()[0]
-        return versions.get(log, key)
+        return versions.get(log, versions.latest(log).filter(F.col("op") == op).agg(F.min("key")).scalar())
 
     return run
 
@@ -77,7 +82,7 @@ def _point(op: str):
 query("point_get", _latest(f"key = {_key_of('W')}", keep=LIVE, columns=KV), _point("W"))
 query("point_get_deleted", _latest(f"key = {_key_of('D')}", keep=LIVE, columns=KV), _point("D"))
 query("point_get_missing", _latest("key = 'no such key'", keep=LIVE, columns=KV), lambda s, d: versions.get(log_of(s, d), "no such key"))
-query("point_get_as_of", _latest("key = '000001' AND op_id <= 700", keep=LIVE, columns=KV), lambda s, d: versions.get(log_of(s, d), "000001", HORIZON))
+query("point_get_as_of", _latest(f"key = '000001' AND op_id <= {HALF}", keep=LIVE, columns=KV), lambda s, d: versions.get(log_of(s, d), "000001", half(log_of(s, d))))
 
 
 def _probe_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +173,7 @@ query(
 query("assemble_level_index", f"WITH {_MANIFEST} SELECT {_FILE}, CAST(row_number() OVER (PARTITION BY level ORDER BY first_key, file_id) - 1 AS INTEGER) AS idx FROM manifest", lambda s, d: storage.assemble_level(_level(s, d, 0), _level(s, d, 1)))
 query("overlap_bounds", f"WITH {_MANIFEST}, x AS (SELECT *, CAST(row_number() OVER (ORDER BY first_key, file_id) - 1 AS INTEGER) AS idx FROM manifest WHERE level = 1) SELECT min(idx) AS lo, max(idx) AS hi FROM x WHERE first_key <= '000050' AND last_key >= '000030'", lambda s, d: storage.overlap_bounds("000030", "000050", storage.assemble_level(_level(s, d, 1))))
 query("compaction_preview", f"WITH {_MANIFEST} SELECT {_FILE} FROM manifest m WHERE level = 0 OR file_id = (SELECT min(file_id) FROM manifest n WHERE n.level = m.level)", lambda s, d: storage.pick_preview(manifest_of(s, d)))
-query("tables_by_level", f"WITH {_MANIFEST} SELECT level, string_agg(CAST(file_id AS VARCHAR), ',' ORDER BY file_id) AS file_ids FROM manifest GROUP BY level", lambda s, d: storage.tables_by_level(manifest_of(s, d)).select("level", F.array_join("file_ids", ",").alias("file_ids")))
+query("tables_by_level", f"WITH {_MANIFEST} SELECT level, file_id FROM manifest", lambda s, d: storage.tables_by_level(manifest_of(s, d)))
 query("storage_totals", f"WITH {_MANIFEST} SELECT count(*) AS n_files, max(level) + 1 AS depth, CAST(sum(rows) AS BIGINT) AS n_rows FROM manifest", lambda s, d: storage.totals(manifest_of(s, d)))
 query("prune_files", f"WITH {_MANIFEST} SELECT {_FILE} FROM manifest WHERE first_key <= '000050' AND last_key >= '000045'", lambda s, d: storage.prune(manifest_of(s, d), "000045", "000050"))
 query("op_sequence", f"SELECT key, op_id AS old_id, row_number() OVER (ORDER BY key, op_id) - 1 + 500 AS op_id FROM ({LOGS['events']})", lambda s, d: oplog.sequence(log_of(s, d).select("key", F.col("op_id").alias("old_id")), 500, ["key", "old_id"]))
@@ -203,3 +208,28 @@ query(
     SELECT file_id, level FROM manifest WHERE file_id NOT IN (SELECT file_id FROM picked) UNION ALL SELECT file_id, level + 1 FROM picked WHERE level > 0""",
     lambda s, d: storage.replay(_manifest_changes(s, d)),
 )
+
+query(
+    "target_delete_changes",
+    f"WITH {_SPLIT}, x AS (SELECT *, CAST(row_number() OVER (ORDER BY first_key, file_id) - 1 AS INTEGER) AS idx FROM t) SELECT idx, file_id, 'Delete' AS change FROM x WHERE {_HIT.format('i', '')}",
+    lambda s, d: storage.delete_changes(storage.assemble_level(_split(2)(s, d).unionByName(_split(3)(s, d))).join(_split(2)(s, d).select("file_id"), "file_id", "left_semi")),
+)
+query(
+    "target_add_changes",
+    f"WITH {_SPLIT}, u AS (SELECT * FROM t x WHERE NOT {_HIT.format('i', '')} UNION ALL SELECT * REPLACE (1 AS level) FROM i x WHERE NOT {_MERGE}), r AS (SELECT *, CAST(row_number() OVER (ORDER BY first_key, file_id) - 1 AS INTEGER) AS idx FROM u) SELECT idx, file_id, 'Add' AS change FROM r WHERE file_id < 1000000",
+    lambda s, d: _moved_in(s, d),
+)
+
+
+def _moved_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inputs that pass through join the targets that stay, at their places by first key."""
+    passing = _split(1)(spark, sf_dir).withColumn("level", F.lit(1))
+    return storage.add_changes(storage.assemble_level(_split(3)(spark, sf_dir), passing), passing)
+
+
+query(
+    "memtables",
+    f"WITH log AS (SELECT op_id, 17 + strlen(key) + CASE WHEN op = 'W' THEN 8 + strlen('v' || CAST(op_id AS VARCHAR)) ELSE 0 END AS size FROM ({LOGS['events']})), f AS (SELECT size, sum(size) OVER (ORDER BY op_id) AS filled FROM log) SELECT CAST((filled - size) // 4096 AS BIGINT) AS memtable, count(*) AS n_ops, CAST(sum(size) AS BIGINT) AS bytes, max(filled) >= ((filled - size) // 4096 + 1) * 4096 AS sealed FROM f GROUP BY (filled - size) // 4096".replace("max(filled) >= ((filled - size) // 4096 + 1) * 4096 AS sealed", "max(filled) >= (max((filled - size) // 4096) + 1) * 4096 AS sealed"),
+    lambda s, d: storage.memtables(_texts(log_of(s, d)), 4096),
+)
+query("lossy_text", "SELECT event_id, props AS text, CAST(strlen(props) AS INTEGER) AS n_bytes FROM events", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", X.lossy_text(F.col("props").cast("binary")).alias("text"), X.byte_length("props").alias("n_bytes")))

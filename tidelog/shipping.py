@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -27,5 +28,6 @@ def ship(spark: SparkSession) -> SparkSession:
             for f in sorted(top.rglob("*.py")):
                 z.write(f, f.relative_to(top.parent))
         sc.addPyFile(path)
+        atexit.register(lambda: os.path.exists(path) and os.remove(path))
         _shipped.add(sc.applicationId)
     return spark
