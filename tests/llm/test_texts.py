@@ -520,13 +520,23 @@ def test_quality_scores_are_of_the_averaged_vectors(spark, sf_dir, monkeypatch):
     weights = np.random.default_rng(3).standard_normal(quality.BUCKETS).astype(np.float32)
     of = quality.scorer(weights)
     texts = [x.text or "" for x in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(60).collect()] + ["", "a", "a a", "a " * 50, "é \x85 ü"]
+    one = lambda h: int(quality.bucket(np.array([h], np.uint64))[0])
+    word = lambda w: int(substring.Words(w.encode() + b"\n").runs(1)[0])
+
+    def gram(data):
+        with np.errstate(over="ignore"):
+            return one(substring.mix(np.array([int.from_bytes(data, "big")], np.uint64) + np.uint64(len(data) << 56))[0])
+
     for text in texts:
         words = text.split()
-        found = [quality.END] + [f for w in words for f in quality.features(w)]
+        found = [quality.END] + [one(word(w)) for w in words]
+        for w in words:
+            data = b" " + w.encode() + b" "
+            found += [gram(data[i : i + n]) for n in quality.GRAMS for i in range(len(data) - n + 1)]
         for a, b in zip(words, words[1:]):
-            found.append(int(quality.bigrams(np.array([quality.word_hash(a), quality.word_hash(b)], np.uint64))[0]) if a != b else quality.SAME)
+            found.append(int(quality.bigrams(np.array([word(a), word(b)], np.uint64))[0]) if a != b else quality.SAME)
         assert abs(of(text) - 1 / (1 + np.exp(-weights[found].astype(float).mean()))) < 1e-9
-        f, n = (np.frombuffer(x, t) for x, t in zip(quality.feature_counts(text, {w: quality.features(w) for w in words}), (np.uint32, np.float32)))
+        f, n = (np.frombuffer(x, t) for x, t in zip(quality.feature_counts(text), (np.uint32, np.float32)))
         assert sorted(np.repeat(f, n.astype(int)).tolist()) == sorted(found)
 
 

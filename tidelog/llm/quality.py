@@ -7,7 +7,7 @@ layer over the average gives the classes. Vectors and layer are learned by plain
 cross entropy (one document a step, one rate for the vectors and one for the layer, both falling to zero) over at most
 ``rows`` labelled documents and ``SAMPLE_BYTES`` of text outside the held-out fold (a bounded, documented sample); scoring
 reads every whole text. As softmax and average are linear in the vectors up to the last step, each bucket is folded to one
-number for scoring, and a word costs one lookup.
+number for scoring. Features are hashed as numpy arrays over whole stretches of a text.
 
 Null texts count as empty. Null labels and labels without document teach nothing; without any labelled
 row, or with one class only, every score is the share of label 1 (0.5 if there is none). Repeated rows
@@ -17,10 +17,7 @@ and ids get equal scores; an empty table gives an empty table; other columns are
 from __future__ import annotations
 
 import math
-import struct
-from collections import Counter
 from typing import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -28,60 +25,66 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import Memo, held_out, labelled_sample, map_rows, remove, whole_text
+from .common import held_out, labelled_sample, map_rows, remove, whole_text
+from .substring import Words, mix
 
 BUCKETS, DIM, GRAMS = 1 << 18, 8, (3, 4)
 ROWS, EPOCHS, RATE, VECTOR_RATE, SEED = 4000, 6, 0.5, 20.0, 7
 END, SAME = 0, 1  # buckets of the end mark and of bigrams that repeat their word
-STRETCH = 1 << 16  # words looked at together
-WORD = np.dtype([("hash", "<u8"), ("sum", "<f8"), ("n", "<f8")])
+STRETCH = 1 << 13  # words looked at together
 
 
-def word_hash(word: str) -> int:
-    data = word.encode()
-    return crc32(data) | crc32(data, 77) << 32
-
-
-def features(word: str) -> list[int]:
-    """Buckets of the word and of its character n-grams, with marks for both ends."""
-    data = f"<{word}>".encode()
-    out = [2 + crc32(data) % (BUCKETS - 2)]
-    for n in GRAMS:
-        out += [2 + crc32(data[i : i + n], n) % (BUCKETS - 2) for i in range(len(data) - n + 1)]
-    return out
+def bucket(hashes: np.ndarray) -> np.ndarray:
+    return 2 + ((hashes >> np.uint64(20)) % np.uint64(BUCKETS - 2)).astype(np.int64)
 
 
 def bigrams(hashes: np.ndarray) -> np.ndarray:
     """Buckets of the word bigrams of consecutive words."""
     a, b = hashes[:-1], hashes[1:]
-    x = a * np.uint64(0x9E3779B97F4A7C15) + b
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    out = (2 + (x >> np.uint64(20)) % np.uint64(BUCKETS - 2)).astype(np.int64)
+    out = bucket(mix(a * np.uint64(0x9E3779B97F4A7C15) + b))
     out[a == b] = SAME
     return out
 
 
-def feature_counts(text: str, memo) -> tuple[bytes, bytes]:
+def grams(data: np.ndarray, size: int) -> np.ndarray:
+    """Buckets of the character n-grams of words, from their bytes with a space before and after each word: the spaces
+    mark both ends, and what holds one inside lies in no word."""
+    n = len(data) - size + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    h, inside = data[:n].astype(np.uint64), np.ones(n, bool)
+    for k in range(1, size):
+        part = data[k : k + n]
+        h = h << np.uint64(8) | part
+        if k < size - 1:
+            inside &= part != 32
+    return bucket(mix(h[inside] + np.uint64(size << 56)))
+
+
+def stretches(text: str) -> Iterator[np.ndarray]:
+    """The buckets of all features of a text, a bounded stretch of words at a time."""
+    yield np.array([END])
     words = text.split()
-    found: Counter = Counter({END: 1})
-    for word, n in Counter(words).items():
-        for f in memo[word]:
-            found[f] += n
-    if len(words) > 1:
-        buckets, n = np.unique(bigrams(np.fromiter(map(word_hash, words), np.uint64, len(words))), return_counts=True)
-        for f, k in zip(buckets.tolist(), n.tolist()):
-            found[f] += k
-    return np.fromiter(found.keys(), np.uint32, len(found)).tobytes(), np.fromiter(found.values(), np.float32, len(found)).tobytes()
+    for at in range(0, len(words), STRETCH):
+        first = max(0, at - 1)  # stretches share a word for the bigrams
+        data = " ".join(words[first : at + STRETCH]).encode()
+        hashes = Words(data + b"\n").runs(1)
+        own = data if first == at else data[data.index(b" ") + 1 :]
+        marked = np.frombuffer(b" " + own + b" ", np.uint8)
+        yield np.concatenate([bucket(hashes[at - first :]), *(grams(marked, n) for n in GRAMS), bigrams(hashes)])
+
+
+def feature_counts(text: str) -> tuple[bytes, bytes]:
+    found, n = np.unique(np.concatenate(list(stretches(text))), return_counts=True)
+    return found.astype(np.uint32).tobytes(), n.astype(np.float32).tobytes()
 
 
 def collect_features(sample: DataFrame) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """The bounded sample's features, in the order of ids."""
 
     def make():
-        memo = Memo(features, 16 << 20)
-
         def step(b):
-            got = [feature_counts(t, memo) for t in b["text"]]
+            got = [feature_counts(t) for t in b["text"]]
             return {"doc_id": b["doc_id"], "label": b["label"], "f": [x for x, _ in got], "n": [x for _, x in got]}
 
         return step
@@ -132,20 +135,11 @@ def fit(spark: SparkSession, docs: DataFrame, sf_dir: str, rows: int = ROWS) ->
 
 
 def scorer(weights: np.ndarray):
-    def of(word: str) -> bytes:
-        found = features(word)
-        return struct.pack("<Qdd", word_hash(word), float(weights[found].sum(dtype=np.float64)), len(found))
-
-    memo = Memo(of)
-
     def score(text: str) -> float:
-        words = text.split()
-        total, n = float(weights[END]), 1.0
-        for at in range(0, len(words), STRETCH):  # bounded memory for very long texts; stretches share a word for the bigrams
-            known = np.frombuffer(b"".join(map(memo.__getitem__, words[max(0, at - 1) : at + STRETCH])), WORD)
-            own = known[1:] if at else known
-            total += float(own["sum"].sum() + weights[bigrams(known["hash"])].sum(dtype=np.float64))
-            n += float(own["n"].sum()) + len(known) - 1
+        total = n = 0.0
+        for found in stretches(text):
+            total += float(weights[found].sum(dtype=np.float64))
+            n += len(found)
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, total / n))))
 
     return score

@@ -60,7 +60,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
+def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> U(31))) * U(0xBF58476D1CE4E5B9)
     return h ^ (h >> U(29))
 
@@ -83,7 +83,7 @@ class Words:
         if n <= 0:
             return np.empty(0, U)
         s, e = self.starts[:n], self.ends[size - 1 :]
-        return _mix((self.sums[e] - self.sums[s]) * self.inverse[s])
+        return mix((self.sums[e] - self.sums[s]) * self.inverse[s])
 
     def windows(self, size: int) -> np.ndarray:
         """First words of the windows that stay in their line."""
