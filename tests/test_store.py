@@ -114,6 +114,15 @@ def test_as_of_join_across_stretches(spark, monkeypatch):
     assert got == want
 
 
+def test_probes_that_see_nothing_are_dealt_apart_from_what_others_see(spark, monkeypatch):
+    monkeypatch.setattr(versions, "STRETCH", 4)
+    monkeypatch.setattr(versions, "BLIND", 3)
+    probes = [(n, None if n % 2 else b"a", None if n % 3 == 0 else 9) for n in range(60)] + [(60, b"a", 9)]
+    p = spark.createDataFrame([(n, None if k is None else bytearray(k), t) for n, k, t in probes], "probe_id int, key binary, as_of long")
+    got = {x.probe_id: (x.as_of, x.op_id) for x in versions.as_of_join(p, log(spark, [(1, "a", 5), (7, "b", 6)])).collect()}
+    assert got == {n: (t, 1 if k is not None and t is not None else None) for n, k, t in probes}
+
+
 def batch(spark, pairs):
     return spark.createDataFrame([(n, bytearray(k.encode()), "D" if v is None else "W", None if v is None else bytearray(v.encode())) for n, (k, v) in enumerate(pairs)], "n long, key binary, op string, value binary")
 

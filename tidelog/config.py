@@ -1,4 +1,4 @@
-"""Settings of a store, as JSON with the reference names of its fields."""
+"""Settings of a store, as JSON with fixed names of its fields."""
 
 from __future__ import annotations
 

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from ..functions.scalars import DELETE, WRITE
 
 STRETCH = 1 << 20  # ids of a stretch
+BLIND = 4096  # stretches for probes that cannot see anything
 
 
 def as_of(log: DataFrame, horizon: int | Column | None) -> DataFrame:
@@ -71,9 +72,11 @@ def as_of_join(probes: DataFrame, log: DataFrame) -> DataFrame:
 
     A union of both sides is swept in the order of ids inside each key, so nothing is multiplied: each probe takes the
     last version before it. A key's rows are divided into stretches of ids first, so that a hot key is swept by many
-    tasks, and each stretch starts from the newest version of the stretches before it.
+    tasks, and each stretch starts from the newest version of the stretches before it. Probes without key or as_of see
+    nothing, so they are dealt by their ids into stretches below all others, however many they are.
     """
-    stretch = F.floor(F.col("at") / STRETCH)
+    blind = F.col("key").isNull() | F.col("at").isNull()
+    stretch = F.when(blind, -1 - F.pmod(F.xxhash64("probe_id"), F.lit(BLIND))).otherwise(F.floor(F.col("at") / STRETCH))
     version = F.struct("op_id", "op", "value")
     rows = log.select("key", F.col("op_id").alias("at"), F.lit(0).alias("kind"), version.alias("v"), F.lit(None).cast(probes.schema["probe_id"].dataType).alias("probe_id"))
     asked = probes.select("key", F.col("as_of").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(rows.schema["v"].dataType).alias("v"), "probe_id")

@@ -82,7 +82,13 @@ def _point(op: str):
 query("point_get", _latest(f"key = {_key_of('W')}", keep=LIVE, columns=KV), _point("W"))
 query("point_get_deleted", _latest(f"key = {_key_of('D')}", keep=LIVE, columns=KV), _point("D"))
 query("point_get_missing", _latest("key = 'no such key'", keep=LIVE, columns=KV), lambda s, d: versions.get(log_of(s, d), "no such key"))
-query("point_get_as_of", _latest(f"key = '000001' AND op_id <= {HALF}", keep=LIVE, columns=KV), lambda s, d: versions.get(log_of(s, d), "000001", half(log_of(s, d))))
+_HALF_KEY = f"(SELECT min(key) FROM ({_latest(f'op_id <= {HALF}', keep=LIVE)}))"
+query("point_get_as_of", _latest(f"key = {_HALF_KEY} AND op_id <= {HALF}", keep=LIVE, columns=KV), lambda s, d: _first_as_of(log_of(s, d)))
+
+
+def _first_as_of(log: DataFrame) -> DataFrame:
+    """Reads the first key that is live as of half of all ids, as of then."""
+    return versions.get(log, versions.snapshot(log, half(log)).agg(F.min("key")).scalar(), half(log))
 
 
 def _probe_keys(spark: SparkSession, sf_dir: str) -> DataFrame:

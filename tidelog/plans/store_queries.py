@@ -236,3 +236,56 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("block_scan", f"SELECT count(*) AS n_records, min(key) AS first_key, max(key) AS last_key FROM ({LOG['events']})", _blocks)
+
+
+def _manifest_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nation table as changes, a batch a region, odd ones deletions of inputs: written framed, with checksums, and read back."""
+    from ..sources.files import Files
+
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").collect()  # 25 rows
+    batches = []
+    for region in sorted({r.n_regionkey for r in nations}):
+        own = [r.n_nationkey for r in nations if r.n_regionkey == region]
+        batches.append(wire.Changes(region, tuple(wire.Change(k, k + 100, "Delete") for k in own if k % 2), tuple(wire.Change(k, k + 100, "Add") for k in own if k % 2 == 0)))
+    files = Files(spark, work_folder(spark))
+    files.replace("manifest.bin", b"".join(wire.frame(b.encode()) for b in batches))
+    read = [wire.Changes.decode(p) for p in wire.frames(files.read("manifest.bin"))]
+    rows = [(b.input_level, part, c.index, c.id, c.change) for b in read for part, cs in (("inputs", b.inputs), ("targets", b.targets)) for c in cs]
+    return spark.createDataFrame(rows, "input_level long, part string, idx long, file_id long, change string")
+
+
+query(
+    "manifest_log",
+    "SELECT CAST(n_regionkey AS BIGINT) AS input_level, CASE WHEN n_nationkey % 2 = 1 THEN 'inputs' ELSE 'targets' END AS part, CAST(n_nationkey AS BIGINT) AS idx, CAST(n_nationkey + 100 AS BIGINT) AS file_id, CASE WHEN n_nationkey % 2 = 1 THEN 'Delete' ELSE 'Add' END AS change FROM nation",
+    _manifest_log,
+)
+
+
+def _table_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nation table's keys, filled into a table of five blocks that hold four records each, and what their encoded
+    key ranges and their records say."""
+    keys = [f"{r.n_nationkey:06d}".encode() for r in spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").collect()]  # 25 rows
+    size = 4 * len(wire.encode_record(0, keys[0], "W", b"x")) + wire.BLOCK_TRAILER
+    blocks, metas, _ = wire.fill_table([(k, key, "W", b"x") for k, key in enumerate(keys)], 5, size)
+    ranges = [wire.decode_block_meta(m)[0] for m in metas]
+    rows = [(k, first.decode(), last.decode(), wire.first_key(b) == first, sum(1 for _ in wire.read_block(b))) for k, (b, (first, last)) in enumerate(zip(blocks, ranges))]
+    return spark.createDataFrame(rows, "block long, first_key string, last_key string, begins_so boolean, n_records long")
+
+
+query(
+    "table_blocks",
+    "WITH r AS (SELECT lpad(CAST(n_nationkey AS VARCHAR), 6, '0') AS key, row_number() OVER (ORDER BY n_nationkey) - 1 AS n FROM nation) SELECT CAST(n // 4 AS BIGINT) AS block, min(key) AS first_key, max(key) AS last_key, true AS begins_so, count(*) AS n_records FROM r WHERE n < 20 GROUP BY n // 4",
+    _table_blocks,
+)
+
+
+def _settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The settings that a store wrote, as it reads them when it is opened again."""
+    config = Store(spark, Store(spark, work_folder(spark), SMALL).path).config
+    s = config.lsm_storage_config
+    level = s.level_config
+    rows = [("memtable_size_limit", s.memtable_size_limit), ("level_zero_num_limit", level.level_zero_num_limit), ("level_ratio", level.level_ratio), ("block_num_limit", level.table_config.block_num_limit), ("imm_num_limit", config.imm_num_limit)]
+    return spark.createDataFrame(rows, "name string, value long")
+
+
+query("store_settings", "SELECT name, CAST(value AS BIGINT) AS value FROM (VALUES ('memtable_size_limit', 32768), ('level_zero_num_limit', 2), ('level_ratio', 2), ('block_num_limit', 64), ('imm_num_limit', 2)) v(name, value)", _settings)
