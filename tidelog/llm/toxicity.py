@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, labelled_sample, map_rows, remove, whole_text
 
-ROWS, MIN_DOCS, MIN_SHARE, PRECISION, GOLD_TRUST = 6000, 4, 0.005, 0.6, 0.97
+ROWS, MIN_DOCS, MIN_SHARE, PRECISION, GOLD_TRUST = 6000, 4, 0.005, 0.7, 0.99
 STEMS = range(3, 13)  # letters of a stem
 WORD = re.compile(r"[^\W\d_]{3,}")
 # The lexicon.
