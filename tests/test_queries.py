@@ -6,7 +6,9 @@ import duckdb
 import pandas as pd
 import pytest
 
+from tidelog.config import Config, LevelConfig, StorageConfig, TableConfig
 from tidelog.plans import queries, store_queries
+from tidelog.store import Store
 
 QUERIES, ORACLES = queries.QUERIES | store_queries.QUERIES, queries.ORACLES | store_queries.ORACLES
 
@@ -49,5 +51,23 @@ def test_plans_hold_no_product(spark, name):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "ExistingRDD" not in plan
 
 
+@pytest.mark.parametrize("name", ["store_snapshot_orders"])
+def test_stores_compact_once_a_batch(spark, monkeypatch, name):
+    """With tables so small that a batch has many: none goes through the levels by itself."""
+    count, levels = [], []
+    compact = Store._compact_level
+
+    def counted(self, *args):
+        count.append(1)
+        after = compact(self, *args)
+        levels.append(len(after.levels))
+        return after
+
+    monkeypatch.setattr(Store, "_compact_level", counted)
+    monkeypatch.setattr(store_queries, "SMALL", Config(lsm_storage_config=StorageConfig(1 << 12, LevelConfig(2, 2, TableConfig(1)))))
+    QUERIES[name](spark, SF).collect()
+    assert 0 < len(count) <= store_queries.PARTS + 1 and max(levels) > 3
+
+
 def test_no_fixed_values_bound_what_is_read():
     assert not any("700" in sql for sql in ORACLES.values())

@@ -177,6 +177,40 @@ def test_compaction_moves_disjoint_files_and_loses_no_key(spark, tmp_path):
         assert got[f"{i:06d}"] == (f"n{i}" if new else str(i)) and store.reader().get(f"{i:06d}".encode()) is not None
 
 
+def test_many_files_go_down_in_one_compaction(spark, tmp_path):
+    """What is too much for the next levels goes to the one that holds it at once, with all it passes, and no key or version is lost."""
+    store = Store(spark, str(tmp_path / "d"), Config(lsm_storage_config=StorageConfig(1024, LevelConfig(2, 2, TableConfig(1)))))
+    model, snapshots = {}, {}
+    for step in range(3):
+        for lo in (0, 300, 600):
+            pairs = [(f"{i:06d}", None if (i + step) % 5 == 0 else f"{step}-{i}") for i in range(lo, lo + 400)]
+            model.update(pairs)
+            snapshots[store.write_batch(batch(spark, pairs), ["n"])] = {k: v for k, v in model.items() if v is not None}
+        assert store.compact() == 1 and not store.need_compact()
+        assert sum(f.rows for f in store.state().files) == 1200 * (step + 1)
+    assert len(store.state().levels) > 4 and not any(store.state().levels[:3])
+    for at, want in snapshots.items():
+        assert found(store.reader(at).snapshot()) == want
+    store.compact(collapse=True)
+    want = {k: v for k, v in model.items() if v is not None}
+    assert found(store.reader().snapshot()) == want and store.reader().get(b"000001").decode() == want["000001"]
+    # levels that all hold the same take it in turns, and what is over goes down at once
+    flat = Store(spark, str(tmp_path / "flat"), Config(lsm_storage_config=StorageConfig(1024, LevelConfig(4, 1, TableConfig(1)))))
+    for k in range(5):
+        flat.write_batch(batch(spark, [(f"{i:06d}", f"{k}") for i in range(200)]), ["n"])
+    assert 0 < flat.compact() < 5 and not flat.need_compact() and set(found(flat.reader().snapshot()).values()) == {"4"}
+
+
+def test_ids_from_outside_are_looked_at_before_the_commit(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "ids"), SMALL)
+    assert store.append_ops(log(spark, [(0, "a", 1), (1, "b", 2)])) == 1
+    for rows in ([(2, "a", 1), (2, "b", 2)], [(1, "c", 1), (5, "d", 2)]):
+        with pytest.raises(ValueError, match="unique and new"):
+            store.append_ops(log(spark, rows))
+    assert found(store.reader().snapshot()) == {"a": "1", "b": "2"} and store.current_op_id() == 2
+    assert len(store.files.names("runs")) == 1 and not store.files.names("pending")
+
+
 def test_tombstones_leave_the_deepest_level(spark, tmp_path):
     store = Store(spark, str(tmp_path / "t"), SMALL)
     for pairs in ([("0", "a"), ("1", "1"), ("2", None)], [("0", None), ("1", "1_new"), ("3", "x")], [("3", None), ("4", "4")]):
