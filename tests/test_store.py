@@ -201,6 +201,18 @@ def test_many_files_go_down_in_one_compaction(spark, tmp_path):
     assert 0 < flat.compact() < 5 and not flat.need_compact() and set(found(flat.reader().snapshot()).values()) == {"4"}
 
 
+@pytest.mark.parametrize("retain_from, left", [(None, 40), (19, 70)])
+def test_history_goes_from_files_that_meet_no_other(spark, tmp_path, retain_from, left):
+    """Each batch has keys of its own, twice; what is left is cut into files by its own size."""
+    store = Store(spark, str(tmp_path / "h"), Config(lsm_storage_config=StorageConfig(1024, LevelConfig(2, 2, TableConfig(1)))))
+    for lo in range(0, 40, 10):
+        store.append_ops(log(spark, [(2 * i + n, f"{i:06d}", str(n)) for i in range(lo, lo + 10) for n in (0, 1)]))
+    assert store.compact(retain_from, collapse=retain_from is None) == 1
+    files = store.state().files
+    assert sum(f.rows for f in files) == left and len(files) == 1 + (retain_from or 0) // 19 * 3
+    assert set(found(store.reader().snapshot()).values()) == {"1"} and len(found(store.reader(retain_from).snapshot())) == (10 if retain_from else 40)
+
+
 def test_ids_from_outside_are_looked_at_before_the_commit(spark, tmp_path):
     store = Store(spark, str(tmp_path / "ids"), SMALL)
     assert store.append_ops(log(spark, [(0, "a", 1), (1, "b", 2)])) == 1
