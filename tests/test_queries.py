@@ -51,7 +51,7 @@ def test_plans_hold_no_product(spark, name):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "ExistingRDD" not in plan
 
 
-@pytest.mark.parametrize("name", ["store_snapshot_orders", "store_collapse"])
+@pytest.mark.parametrize("name", ["store_snapshot_orders", "store_collapse", "store_retention"])
 def test_stores_compact_once_a_batch(spark, monkeypatch, name):
     """With tables so small that a batch has many: none goes through the levels by itself."""
     count, levels = [], []
