@@ -51,7 +51,7 @@ def test_plans_hold_no_product(spark, name):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "ExistingRDD" not in plan
 
 
-@pytest.mark.parametrize("name", ["store_snapshot_orders", "store_collapse", "store_retention"])
+@pytest.mark.parametrize("name", ["store_snapshot_orders", "store_collapse", "store_retention", "store_as_of_join", "store_get", "store_history", "store_memtable_snapshot", "store_range_scan", "store_multi_get", "store_reopen", "store_snapshot", "store_time_travel", "store_totals", "stream_ingest_totals"])
 def test_stores_compact_once_a_batch(spark, monkeypatch, name):
     """With tables so small that a batch has many: none goes through the levels by itself."""
     count, levels = [], []
@@ -66,7 +66,7 @@ def test_stores_compact_once_a_batch(spark, monkeypatch, name):
     monkeypatch.setattr(Store, "_compact_level", counted)
     monkeypatch.setattr(store_queries, "SMALL", Config(lsm_storage_config=StorageConfig(1 << 12, LevelConfig(2, 2, TableConfig(1)))))
     QUERIES[name](spark, SF).collect()
-    assert 0 < len(count) <= store_queries.PARTS + 1 and max(levels) > 3
+    assert 0 < len(count) < store_queries.PARTS and max(levels) > 2
 
 
 def test_no_fixed_values_bound_what_is_read():
