@@ -114,6 +114,22 @@ def test_as_of_join_across_stretches(spark, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("most", [0, 4, 1 << 20])
+def test_as_of_join_divides_only_hot_groups_of_keys(spark, monkeypatch, most):
+    """All keys divided, one of them, or none: the same answers, and rows carried over between stretches only for those."""
+    monkeypatch.setattr(versions, "STRETCH", max(1, most))
+    rows = [(i, "hot" if i % 4 else f"k{i:02d}", None if i % 7 == 0 else i) for i in range(40)]
+    probes = [(p, "hot" if p % 2 else f"k{p:02d}", t) for p in range(40) for t in (3, 20, 60)]
+    p = spark.createDataFrame([(n, bytearray(k.encode()), t) for n, (_, k, t) in enumerate(probes)], "probe_id int, key binary, as_of long")
+    joined = versions.as_of_join(p, log(spark, rows))
+    got = {x.probe_id: x.op_id for x in joined.collect()}
+    seen = [[(i, v) for i, kk, v in rows if kk == k and i <= t][-1:] for _, k, t in probes]
+    assert got == {n: s[0][0] if s and s[0][1] is not None else None for n, s in enumerate(seen)}
+    carried = spark.createDataFrame([(k.encode(),) for k in {k for _, k, _ in probes} | {k for _, k, _ in rows}], "key binary").select(F.xxhash64("key").bitwiseAND(versions.GROUPS - 1).alias("g"))
+    assert carried.distinct().count() == carried.count()  # no two keys of this test share a group
+    assert joined._jdf.queryExecution().optimizedPlan().toString().count("Window") == 2
+
+
 def test_probes_that_see_nothing_are_dealt_apart_from_what_others_see(spark, monkeypatch):
     monkeypatch.setattr(versions, "STRETCH", 4)
     monkeypatch.setattr(versions, "BLIND", 3)

@@ -13,7 +13,8 @@ from pyspark.sql.window import Window
 
 from ..functions.scalars import DELETE, WRITE
 
-STRETCH = 1 << 20  # ids of a stretch
+STRETCH = 1 << 20  # ids of a stretch, and rows that a group of keys is swept with whole
+GROUPS = 1 << 16  # groups of keys, by their hash
 BLIND = 4096  # stretches for probes that cannot see anything
 
 
@@ -71,19 +72,24 @@ def as_of_join(probes: DataFrame, log: DataFrame) -> DataFrame:
     and so do probes without key or as_of.
 
     A union of both sides is swept in the order of ids inside each key, so nothing is multiplied: each probe takes the
-    last version before it. A key's rows are divided into stretches of ids first, so that a hot key is swept by many
-    tasks, and each stretch starts from the newest version of the stretches before it. Probes without key or as_of see
-    nothing, so they are dealt by their ids into stretches below all others, however many they are.
+    last version before it. Rows are counted first by groups of keys: the keys of a group of more than ``STRETCH`` rows are
+    divided into stretches of ids, so that a hot key is swept by many tasks, and each stretch starts from the newest version
+    of the stretches before it; all others are swept whole. The groups that are divided, ``GROUPS`` at most, are broadcast.
+    Probes without key or as_of see nothing, so they are dealt by their ids into stretches below all others, however many
+    they are.
     """
     blind = F.col("key").isNull() | F.col("at").isNull()
-    stretch = F.when(blind, -1 - F.pmod(F.xxhash64("probe_id"), F.lit(BLIND))).otherwise(F.floor(F.col("at") / STRETCH))
+    stretch = F.when(blind, -1 - F.pmod(F.xxhash64("probe_id"), F.lit(BLIND))).when(F.col("hot").isNotNull(), F.floor(F.col("at") / STRETCH)).otherwise(0)
     version = F.struct("op_id", "op", "value")
     rows = log.select("key", F.col("op_id").alias("at"), F.lit(0).alias("kind"), version.alias("v"), F.lit(None).cast(probes.schema["probe_id"].dataType).alias("probe_id"))
     asked = probes.select("key", F.col("as_of").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(rows.schema["v"].dataType).alias("v"), "probe_id")
-    both = rows.unionByName(asked).withColumn("stretch", stretch)
+    both = rows.unionByName(asked)
+    group = F.xxhash64("key").bitwiseAND(GROUPS - 1)
+    hot = both.filter(~blind).groupBy(group.alias("hot")).agg(F.count("*").alias("n")).filter(F.col("n") > STRETCH).select("hot")
+    both = both.join(F.broadcast(hot), group == F.col("hot"), "left").withColumn("stretch", stretch)
     inside = Window.partitionBy("key", "stretch").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     swept = both.withColumn("seen", F.last("v", ignorenulls=True).over(inside)).filter("kind = 1")
-    ends = both.groupBy("key", "stretch").agg(F.max(F.when(F.col("kind") == 0, F.struct("at", "v"))).alias("e"))
+    ends = both.filter("hot IS NOT NULL").groupBy("key", "stretch").agg(F.max(F.when(F.col("kind") == 0, F.struct("at", "v"))).alias("e"))
     carried = ends.withColumn("before", F.last(F.col("e.v"), ignorenulls=True).over(Window.partitionBy("key").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)))
     carried = carried.filter("before IS NOT NULL").select(F.col("key").alias("k"), F.col("stretch").alias("of"), "before")
     seen = swept.join(carried, (F.col("key") == F.col("k")) & (F.col("stretch") == F.col("of")), "left")
