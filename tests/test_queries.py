@@ -69,5 +69,18 @@ def test_stores_compact_once_a_batch(spark, monkeypatch, name):
     assert 0 < len(count) < store_queries.PARTS and max(levels) > 2
 
 
+def test_stores_read_their_table_once(spark, monkeypatch):
+    plans, append = [], Store.append_ops
+
+    def noted(self, log, memtable=False):
+        plans.append(log._jdf.queryExecution().withCachedData().toString())
+        return append(self, log, memtable)
+
+    monkeypatch.setattr(Store, "append_ops", noted)
+    rows = QUERIES["store_history"](spark, SF).count()
+    assert rows == spark.read.parquet(f"{SF}/events.parquet").count()
+    assert len(plans) == store_queries.PARTS and all("InMemoryRelation" in p for p in plans)
+
+
 def test_no_fixed_values_bound_what_is_read():
     assert not any("700" in sql for sql in ORACLES.values())

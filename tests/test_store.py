@@ -10,7 +10,7 @@ from tidelog.config import Config, ConfigInvalid, ConfigNotFound, LevelConfig, S
 from tidelog.functions import scalars as X
 from tidelog.operators import oplog, storage, versions
 from tidelog.sources import wire
-from tidelog.store import Conflict, Store
+from tidelog.store import Conflict, Store, read_runs
 from tidelog.streaming.ingest import Writer, ingest, latest_view, request_bytes
 
 SMALL = Config(lsm_storage_config=StorageConfig(1024, LevelConfig(2, 2, TableConfig(256))), request_queue_size=200)
@@ -353,6 +353,39 @@ def test_memtables_are_sealed_flushed_and_gated(spark, tmp_path):
     assert found(again.snapshot()) == {"30": "c" * 90, "50": "e", "60": "x", "61": "x"} and found(again.at(1).snapshot()) == {"30": "a", "40": "b"}
 
 
+def test_run_files_are_read_by_folder_and_by_size(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameReader
+
+    store = Store(spark, str(tmp_path / "r"), SMALL)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        store.append_ops(log(spark, [(k, f"k{k:03d}", k) for k in range(400)]))
+        store.append_ops(log(spark, [(400, "large", int("9" * 3000))]))
+    finally:
+        spark.conf.unset(coalesce)
+    files = store.state().files
+    first = [f for f in files if f.min_op_id < 400]
+    assert len(first) > 2 and all(f.together == len(first) for f in first)
+    named, parquet = [], DataFrameReader.parquet
+    monkeypatch.setattr(DataFrameReader, "parquet", lambda self, *paths, **k: (named.append(paths), parquet(self, *paths, **k))[1])
+    assert read_runs(spark, files).count() == 401 and sorted(map(len, named)) == [1, 1]  # two scans, a folder each
+    named.clear()
+    assert read_runs(spark, first[:-1]).count() == 400 - first[-1].rows and [len(p) for p in named] == [len(first) - 1]
+    assert read_runs(spark, []).count() == 0
+
+
+def test_ids_that_occur_twice_leave_nothing_behind(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "u"), SMALL)
+    store.append_ops(log(spark, [(0, "a", 1)]))
+    kept = store.files.names("runs")
+    for rows in ([(1, "a", 1), (1, "b", 2)], [(0, "b", 2), (5, "c", 3)]):
+        with pytest.raises(ValueError):
+            store.append_ops(log(spark, rows))
+        assert store.files.names("runs") == kept and not store.files.names("pending")
+    assert store.append_ops(log(spark, [(1, "b", 2)])) == 1
+
+
 def test_writer_acknowledges_and_drains(spark, tmp_path):
     store = Store(spark, str(tmp_path / "w"), SMALL)
     w = Writer(store)

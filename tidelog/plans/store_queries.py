@@ -59,16 +59,20 @@ def plain(rows: DataFrame) -> DataFrame:
 
 
 def store_of(spark: SparkSession, sf_dir: str, memtable: bool = False, compact: bool = True, name: str = "events") -> Store:
-    """The whole log, in ``PARTS`` batches by id, with compactions between them; the last batch stays where it came."""
-    log = binary(log_of(spark, sf_dir, name))
-    most = log.agg(F.max("op_id")).first()[0] or 0
-    store = Store(spark, work_folder(spark), SMALL)
-    step = most // PARTS + 1
-    for k in range(PARTS):
-        store.append_ops(log.filter((F.col("op_id") >= k * step) & (F.col("op_id") < (k + 1) * step)), memtable)
-        if compact and k < PARTS - 1:
-            store.maintain()
-    return store
+    """The whole log, in ``PARTS`` batches by id, with compactions between them; the last batch stays where it came. The
+    table is read once and kept by the executors until the last batch is in, as each batch is looked at to be dealt."""
+    log = binary(log_of(spark, sf_dir, name)).persist()
+    try:
+        most = log.agg(F.max("op_id")).first()[0] or 0
+        store = Store(spark, work_folder(spark), SMALL)
+        step = most // PARTS + 1
+        for k in range(PARTS):
+            store.append_ops(log.filter((F.col("op_id") >= k * step) & (F.col("op_id") < (k + 1) * step)), memtable)
+            if compact and k < PARTS - 1:
+                store.maintain()
+        return store
+    finally:
+        log.unpersist()
 
 
 LOG = {n: sql.replace("NULL ELSE value END AS value", "NULL ELSE 'v' || CAST(event_id AS VARCHAR) END AS value").replace("NULL ELSE o_totalprice END AS value", "NULL ELSE 'v' || CAST(o_orderkey AS VARCHAR) END AS value") for n, sql in LOGS.items()}
