@@ -353,6 +353,26 @@ def test_memtables_are_sealed_flushed_and_gated(spark, tmp_path):
     assert found(again.snapshot()) == {"30": "c" * 90, "50": "e", "60": "x", "61": "x"} and found(again.at(1).snapshot()) == {"30": "a", "40": "b"}
 
 
+def test_a_memtable_of_one_batch_is_flushed_without_being_written_again(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "mv"), SMALL)
+    store.append_ops(log(spark, [(k, f"{k:02d}", k) for k in range(20)]), memtable=True)
+    store.freeze()
+    before = store.state()
+    monkeypatch.setattr(Store, "_write_runs", lambda *a, **k: pytest.fail("written again"))
+    assert store.flush(gate=False) == 1
+    monkeypatch.undo()
+    after = store.state()
+    assert not after.sealed and not after.memory and {f.path for f in after.levels[0]} == {f.path for f in before.memory}
+    assert all(f.level == 0 and f.memtable is None for f in after.levels[0])
+    for k in (20, 21):  # two batches in one memtable become one run
+        store.append_ops(log(spark, [(k, "05", k)]), memtable=True)
+    store.freeze()
+    store.flush(gate=False)
+    assert len({f.folder for f in store.state().levels[0]}) == 2
+    again = Store(spark, store.path).reader()
+    assert found(again.snapshot()) == {f"{k:02d}": str(21 if k == 5 else k) for k in range(20)} and found(again.at(19).snapshot())["05"] == "5"
+
+
 def test_run_files_are_read_by_folder_and_by_size(spark, tmp_path, monkeypatch):
     from pyspark.sql import DataFrameReader
 
