@@ -489,6 +489,22 @@ def test_stream_equals_batch_and_retries_write_once(spark, tmp_path):
     assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
 
 
+def test_a_batch_with_ids_of_its_own_is_written_in_their_order_by_many_tasks(spark, tmp_path, monkeypatch):
+    sequence, dealt = oplog.sequence, []
+    monkeypatch.setattr(oplog, "sequence", lambda *a: (out := sequence(*a), dealt.append(out._cached.select(F.spark_partition_id()).distinct().count()))[0])
+    ids = random.Random(5).sample(range(0, 4000, 2), 2000)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        store = Store(spark, str(tmp_path / "ids"), SMALL)
+        assert store.write_batch(log(spark, [(i, f"k{i % 7}", i) for i in ids]).repartition(5), ["op_id"], "src", 0) == 1999
+    finally:
+        spark.conf.unset(coalesce)
+    got = store.reader().log().select("op_id", F.col("value").cast("string").cast("long").alias("old")).collect()
+    assert len(got) == 2000 and all(r.old == 2 * r.op_id for r in got)
+    assert dealt == [8]
+
+
 def test_wire_formats(spark, tmp_path):
     assert wire.encode_record(1, b"123", "D", None).hex() == "01000000000000000300000000000000" + "313233" + "00"
     assert wire.encode_record(1, b"123", "W", b"234").hex() == "01000000000000000300000000000000" + "313233" + "01" + "0300000000000000" + "323334"
