@@ -82,5 +82,12 @@ def test_stores_read_their_table_once(spark, monkeypatch):
     assert len(plans) == store_queries.PARTS and all("InMemoryRelation" in p for p in plans)
 
 
+def test_a_micro_batch_is_written_and_read_by_many_tasks(spark):
+    store = store_queries._streamed(spark, SF)
+    names = [n for n in os.listdir(f"{os.path.dirname(store.path)}/in") if n.endswith(".parquet")]
+    assert len(names) == 24 and store.state().batches == {"files": 2}
+    assert store.reader().log().count() == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
 def test_no_fixed_values_bound_what_is_read():
     assert not any("700" in sql for sql in ORACLES.values())

@@ -25,6 +25,7 @@ from .queries import LOGS, _latest, _probe_keys, _texts, half, log_of
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 PARTS = 4  # batches that a log comes in
+MICRO_BATCHES, FILES = 3, 8  # of a log that is streamed, and of each of them: tasks write and read these side by side
 SMALL = Config(lsm_storage_config=StorageConfig(1 << 15, LevelConfig(2, 2, TableConfig(64))))
 
 
@@ -185,11 +186,11 @@ query("store_flush", f"WITH t AS (SELECT CAST(sum(size) AS BIGINT) AS bytes, cou
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> Store:
-    """The log as a stream of files, each micro-batch one commit."""
+    """The log as a stream of files, ``FILES`` of them a micro-batch, each micro-batch one commit."""
     work = work_folder(spark)
     log = binary(log_of(spark, sf_dir))
-    log.repartitionByRange(3, "op_id").sortWithinPartitions("op_id").write.parquet(f"{work}/in")
-    stream = spark.readStream.schema(oplog.SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{work}/in")
+    log.repartitionByRange(MICRO_BATCHES * FILES, "op_id").sortWithinPartitions("op_id").write.parquet(f"{work}/in")
+    stream = spark.readStream.schema(oplog.SCHEMA).option("maxFilesPerTrigger", FILES).parquet(f"{work}/in")
     store = Store(spark, f"{work}/store", SMALL)
     ingest(store, stream, f"{work}/checkpoint", "files", ["op_id"]).awaitTermination()
     return store
