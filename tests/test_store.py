@@ -489,6 +489,34 @@ def test_stream_equals_batch_and_retries_write_once(spark, tmp_path):
     assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
 
 
+def test_files_of_a_batch_meet_only_at_hot_keys_and_are_moved_down(spark, tmp_path, monkeypatch):
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    r = random.Random(8)
+    rows = [(i, f"k{r.randint(0, 99):02d}", None if r.random() < 0.2 else i) for i in range(900)]
+    try:
+        store = Store(spark, str(tmp_path / "apart"), SMALL)
+        store.append_ops(log(spark, rows[:600]))
+        before = store.state().files
+        assert len(before) > 2 and all(a.last_key < b.first_key for a, b in zip(before[::-1], before[-2::-1]))
+        monkeypatch.setattr(Store, "_write_runs", lambda *a, **k: pytest.fail("written again"))
+        assert store.compact() == 1
+        monkeypatch.undo()
+        after = store.state()
+        assert not after.levels[0] and {f.path for f in after.files} == {f.path for f in before}
+        store.append_ops(log(spark, rows[600:]))  # meets them all
+        store.append_ops(log(spark, [(900 + i, "k50" if i % 4 else f"k{i:02d}", i) for i in range(99)]))
+        held = [f for f in store.state().levels[0] if f.min_op_id >= 900 and f.meets(b"k50".hex().upper(), b"k50".hex().upper())]
+        assert len(held) > 1
+        store.compact()
+    finally:
+        spark.conf.unset(coalesce)
+    assert not store.need_compact() and sum(f.rows for f in store.state().files) == 999
+    for at in (300, 599, 750, 899):
+        want = {k: str(v) for k, v in {k: v for i, k, v in rows if i <= at}.items() if v is not None}
+        assert found(store.reader(at).snapshot()) == want
+
+
 def test_a_batch_with_ids_of_its_own_is_written_in_their_order_by_many_tasks(spark, tmp_path, monkeypatch):
     sequence, dealt = oplog.sequence, []
     monkeypatch.setattr(oplog, "sequence", lambda *a: (out := sequence(*a), dealt.append(out._cached.select(F.spark_partition_id()).distinct().count()))[0])
